@@ -133,8 +133,8 @@ m AS (SELECT term_id, CASE WHEN occurrences < 3 OR records < 2 THEN 'rare' WHEN
       FROM f CROSS JOIN n WHERE term_id IN (SELECT id FROM terms GROUP BY id HAVING NOT MAX(COALESCE(is_stopword, FALSE))))
 SELECT term_id, mark FROM m WHERE mark IS NOT NULL""",
     "p4_ngrams": """
-WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z]+'), x -> lower(x)) AS t FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda x: lower(x)) AS t FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 g AS (SELECT doc_id, 1 AS n, unnest(t) AS gram FROM d
-      UNION ALL SELECT doc_id, 2, unnest(list_transform(range(1, len(t)), i -> t[i] || ' ' || t[i + 1])) FROM d WHERE len(t) > 1)
+      UNION ALL SELECT doc_id, 2, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM d WHERE len(t) > 1)
 SELECT CAST(n AS INTEGER) AS n, gram, COUNT(*) AS occurrences, COUNT(DISTINCT doc_id) AS records FROM g GROUP BY n, gram""",
 }
