@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ CLOUD_TERM = r"^[ก-๏A-Za-z][ก-๏A-Za-z0-9 .]*$"
 LATIN_TOKEN = r"[A-Za-z][A-Za-z0-9]*(?:[-'][A-Za-z0-9]+)*"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once a row even where the body names it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
@@ -46,9 +53,9 @@ def clock_add(start: Column, seconds: Column) -> Column:
 
 def encode_breaks(offsets: Column) -> Column:
     """Delta coding of ascending offsets: one base-62 digit a gap, larger gaps decimal between underscores."""
-    gaps = F.transform(offsets, lambda x, i: x - F.when(i == 0, 0).otherwise(F.get(offsets, i - 1)))
+    gaps = lambda o: F.transform(o, lambda x, i: x - F.when(i == 0, 0).otherwise(F.get(o, i - 1)))
     digit = lambda g: F.when(g < 62, F.substring(F.lit(BASE62), (g + 1).cast("int"), F.lit(1))).otherwise(F.concat(F.lit("_"), g.cast("string"), F.lit("_")))
-    return F.array_join(F.transform(gaps, digit), "")
+    return F.array_join(F.transform(let(offsets, gaps), digit), "")
 
 
 def decode_breaks(code: Column) -> Column:

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
 
 
-@F.pandas_udf("clean string, key string, display string, bare string, formal boolean")
-def parse_name(raw: pd.Series) -> pd.DataFrame:
+def _parse(raw: pd.Series) -> pd.DataFrame:
     rows = []
     for r in raw:
         c = N.clean_name(r)
@@ -18,6 +17,10 @@ def parse_name(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["clean", "key", "display", "bare", "formal"])
 
 
+def parse_name(raw: str) -> Column:
+    return F.pandas_udf(_parse, "clean string, key string, display string, bare string, formal boolean", F.PandasUDFType.SCALAR)(raw)
+
+
 def with_names(df: DataFrame, raw: str) -> DataFrame:
     """Adds the struct column `name_parts` (clean, key, display, bare, formal); all null where the text is no name."""
     distinct = df.select(raw).where(F.col(raw).isNotNull()).distinct().withColumn("name_parts", parse_name(raw))

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import decode_breaks
+from ..functions.text import decode_breaks, let
 
 
 def places(text: Column, query: str) -> Column:
     """All offsets (from 0, overlapping) where the query stands, ignoring case."""
-    low, q = F.lower(text), query.lower()
-    starts = F.sequence(F.lit(0), F.length(low) - len(q))
-    return F.when(F.length(low) >= len(q), F.filter(starts, lambda i: F.substring(low, i + 1, F.lit(len(q))) == q)).otherwise(F.array().cast("array<int>"))
+    q = query.lower()
+
+    def scan(low: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.length(low) - len(q))
+        return F.when(F.length(low) >= len(q), F.filter(starts, lambda i: F.substring(low, i + 1, F.lit(len(q))) == q)).otherwise(F.array().cast("array<int>"))
+
+    return let(F.lower(text), scan)
 
 
 def hits(df: DataFrame, query: str, text: str = "text", breaks: str = "breaks") -> DataFrame:
@@ -22,8 +26,8 @@ def hits(df: DataFrame, query: str, text: str = "text", breaks: str = "breaks")
     """
     rows = df.where(F.lower(text).contains(query.lower())).withColumn("places", places(F.col(text), query))
     known = decode_breaks(F.when(F.length(breaks) > 0, F.col(breaks)))
-    whole = lambda b: F.filter("places", lambda i: F.array_contains(b, i) & F.array_contains(b, i + len(query)))
-    return rows.withColumn("_b", known).withColumn("hits", F.when(F.col("_b").isNull(), F.col("places")).otherwise(whole(F.col("_b")))).drop("_b")
+    whole = lambda b: F.when(b.isNull(), F.col("places")).otherwise(F.filter("places", lambda i: F.array_contains(b, i) & F.array_contains(b, i + len(query))))
+    return rows.withColumn("hits", let(known, whole))
 
 
 def search(df: DataFrame, query: str, key: str) -> DataFrame:
