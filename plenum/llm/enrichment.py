@@ -45,8 +45,9 @@ def log_upper_tail(k: np.ndarray, n: np.ndarray, big_k: np.ndarray, big_n: np.nd
     low, high = np.maximum(0, n + big_k - big_n), np.minimum(n, big_k)
     ln_c = lambda a, b: log_gamma(a + 1) - log_gamma(b + 1) - log_gamma(a - b + 1)
 
-    def pmf(i: np.ndarray) -> np.ndarray:
-        return ln_c(big_k, i) + ln_c(big_n - big_k, n - i) - ln_c(big_n, n)
+    def pmf(at: np.ndarray) -> np.ndarray:
+        x, draws, marked, all_ = i[at], n[at], big_k[at], big_n[at]
+        return ln_c(marked, x) + ln_c(all_ - marked, draws - x) - ln_c(all_, draws)
 
     upper = k > n * big_k / np.maximum(big_n, 1)
     i = np.where(upper, k, k - 1)
@@ -71,7 +72,7 @@ def log_upper_tail(k: np.ndarray, n: np.ndarray, big_k: np.ndarray, big_n: np.nd
     inside = ~sure & (k <= high)
     ln = np.full_like(k, -np.inf)
     ok = inside & (i >= low) & (i <= high)
-    ln[ok] = pmf(i[ok]) + np.log(total[ok])
+    ln[ok] = pmf(ok) + np.log(total[ok])
     out[inside] = np.where(upper[inside], ln[inside], np.log1p(-np.minimum(np.exp(ln[inside]), 1 - 1e-16)))
     out[~sure & (k > high)] = -np.inf
     return np.minimum(out, 0.0)
