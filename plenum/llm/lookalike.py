@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import codepoints as C
+from .storage import cut
 
 # Letters of other scripts that are drawn like a Latin letter.
 LOOKALIKES = {
@@ -137,7 +138,7 @@ def same_look_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", full
     and the output linear in it: a class may hold a third of all rows. Repeated rows of one key count once. Rows with a
     null or invisible text are in no pair.
     """
-    forms = common_form(df, key, text).where(F.length("form") > 0).select(key, "form_hash", "text_hash").distinct()
+    forms = cut(common_form(df, key, text).where(F.length("form") > 0).select(key, "form_hash", "text_hash").distinct())
     per_text = forms.groupBy("form_hash", "text_hash").agg(F.min(key).alias("least"), F.count("*").alias("n"))
     classes = (
         per_text.groupBy("form_hash")
