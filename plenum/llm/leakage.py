@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from . import codepoints as C
 from . import lookalike
+from ..session import short_list
 from .storage import cut
 
 TERM, BLOCK, ITEM_LIMIT = 26, 10, 20_000
@@ -114,9 +115,8 @@ def passage(item: str, text: str) -> tuple[int, int]:
 
 def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item_key, share, exchanged): documents that hold at least SHARE of an item as one passage."""
-    rows = items.select(item_key, item_text).where(F.col(item_text).isNotNull()).dropDuplicates([item_key]).orderBy(item_key).limit(ITEM_LIMIT + 1).collect()
-    if len(rows) > ITEM_LIMIT:
-        raise ValueError(f"more than {ITEM_LIMIT} test items: index them in several calls")
+    rows = items.select(item_key, item_text).where(F.col(item_text).isNotNull()).dropDuplicates([item_key])
+    rows = sorted(short_list(rows, ITEM_LIMIT))
     spark = documents.sparkSession
     plain = _plain_texts([r[1] for r in rows])
     by_size: dict[int, list[tuple[int, int, int]]] = {}

@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import short_list
 from .transcript import ASIDE, FILLER, TIME, WORD
 
 # Final particles of polite speech.
@@ -163,7 +164,7 @@ class Boundaries:
 
 def sentence_ends(speeches: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """(speech_id, end_char) of every sentence. `words` (term) is the dictionary of the lattice; it must be a fixed list."""
-    listed = frozenset(r[0] for r in words.select("term").where(F.col("term").rlike("(ครับ|คะ|ค่ะ|จ้ะ|จ้า|ฮะ|ผม)$")).distinct().limit(100_000).collect() if r[0]) if words is not None else frozenset()
+    listed = frozenset(r[0] for r in short_list(words.select("term").where(F.col("term").rlike("(ครับ|คะ|ค่ะ|จ้ะ|จ้า|ฮะ|ผม)$")).distinct(), 100_000)) if words is not None else frozenset()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         finder = Boundaries(listed)

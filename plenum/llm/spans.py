@@ -10,7 +10,8 @@ of SPAN or more characters are mapped back and united per row.
 
 Automata live in the task that holds the key and are not broadcast: broadcasting every shard to every row would grow as
 the square of the collection. A shard takes SHARD surroundings; a key with more (it may hold a third of all rows)
-counts the exact windows of SPAN characters around the anchor by aggregation instead, which needs no group in one task.
+counts the exact windows of SPAN characters around the anchor by aggregation instead, which needs no group in one task;
+copies are counted once there.
 
 Cases: null texts and texts shorter than SPAN share nothing; equal texts under different keys share everything;
 repeated rows of one key count once; offsets count characters (code points).
@@ -198,10 +199,17 @@ def shared_spans(segments: DataFrame, key: list[str], text: str = "text") -> Dat
 
     by_shard = small.repartition("k").sortWithinPartitions("k").select("id", "k", "from", "around").mapInPandas(stream, span_schema)
 
-    # crowded keys: the exact windows of SPAN characters that hold the anchor
-    windows = large.where(F.length("around") >= SPAN).select("id", "from", F.posexplode(F.expr(f"transform(sequence(1, length(around) - {SPAN - 1}), i -> xxhash64(substring(around, i, {SPAN})))")).alias("i", "w")).distinct()
-    twice = windows.groupBy("w").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("w")
-    crowded = windows.join(twice, "w").select("id", (F.col("from") + F.col("i")).cast("int").alias("begin"), (F.col("from") + F.col("i") + SPAN).cast("int").alias("end"))
+    # crowded keys: the exact windows of SPAN characters that hold the anchor; equal surroundings (copies) count once,
+    # with the least and greatest row they stand in
+    placed = large.where(F.length("around") >= SPAN).withColumn("c", F.md5(F.concat_ws("|", F.col("k").cast("string"), "around")))
+    distinct = placed.groupBy("c").agg(F.first("around").alias("around"), F.min("id").alias("a"), F.max("id").alias("b"))
+    windows = distinct.select("c", "a", "b", F.posexplode(F.expr(f"transform(sequence(1, length(around) - {SPAN - 1}), i -> xxhash64(substring(around, i, {SPAN})))")).alias("i", "w"))
+    twice = windows.groupBy("w").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("w")
+    crowded = (
+        placed.select("id", "from", "c")
+        .join(windows.join(twice, "w").select("c", "i"), "c")
+        .select("id", (F.col("from") + F.col("i")).cast("int").alias("begin"), (F.col("from") + F.col("i") + SPAN).cast("int").alias("end"))
+    )
     # a row's spans are bounded by its own length
     united = by_shard.unionByName(crowded).groupBy("id").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("s"))
     merged = F.expr(
