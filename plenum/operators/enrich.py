@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.model import Model
+from ..session import short_list
 
 # Labels under which the chair speaks.
 CHAIR = ("ประธานสภา", "รองประธานสภา", "ประธานในที่ประชุม", "ประธานที่ประชุม")
@@ -55,7 +56,7 @@ def intro_fill(speeches: DataFrame, persons: DataFrame, parties: DataFrame) -> D
     persons (person_id, first_name), parties (party), speeches (person_id, party_id, text): the first name must stand in
     the first 250 characters, the introduction in the first 400. The party list is a small dimension turned to a pattern.
     """
-    names = [r[0] for r in parties.select("party").distinct().orderBy(F.length("party").desc(), "party").limit(1000).collect()]
+    names = sorted((r[0] for r in short_list(parties.select("party").where("party is not null").distinct(), 1000)), key=lambda p: (-len(p), p))
     escape = lambda s: "".join("\\" + c if not c.isalnum() and ord(c) < 128 else c for c in s)
     pattern = r"(?:สมาชิก(?:สภา)?ผู้แทนราษฎร|ส\.ส\.).{0,60}?พรรค\s?(" + "|".join(map(escape, names)) + ")"
     known = speeches.groupBy("person_id").agg(F.max("party_id").alias("p")).where("p is null and person_id is not null").select("person_id")

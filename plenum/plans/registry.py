@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import clouds, enrich, incremental, names, search, sequence, stats, tokenize
+from ..session import short_list
 from .model import SQL, Model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -221,7 +222,7 @@ _add("tok9_breaks", lambda m: m.speech("breaks").where("breaks is not null").sel
 
 def _thai_words(m: Model) -> DataFrame:
     """Speech texts cut into the words of the term list; every term is equally frequent here."""
-    words = {r[0]: 1000 for r in m.raw("terms").select("term").where("term is not null").distinct().limit(200_000).collect()}
+    words = {r[0]: 1000 for r in short_list(m.raw("terms").select("term").where("term is not null").distinct(), 200_000)}
     s = m.speech("text").select("speech_id", "text")
     t = tokenize.thai_tokens(s, "text", tokenize.Lexicon(words))
     return t.select("speech_id", F.explode("tokens").alias("term")).groupBy("speech_id", "term").agg(F.count("*").alias("n"))

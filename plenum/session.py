@@ -45,3 +45,11 @@ def ship(spark: SparkSession) -> SparkSession:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def short_list(df: DataFrame, limit: int) -> list:
+    """The rows of a list that is short by its nature; a longer one is refused, never cut."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows where a short list is expected")
+    return rows
