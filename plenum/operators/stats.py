@@ -117,3 +117,18 @@ def party_overview(m: Model) -> DataFrame:
     whole = m.speech().agg(F.sum("word_count").alias("whole")).withColumn("_k", F.lit(1))
     t = totals(m.speech(), "party_id").withColumn("_k", F.lit(1)).join(F.broadcast(whole), "_k")
     return t.select("party_id", "speeches", "words", "meetings", "members", F.round(F.col("words") / F.col("whole"), 6).alias("share"))
+
+
+def speech_topics(topics: DataFrame, labels: DataFrame, speeches: DataFrame) -> DataFrame:
+    """Topic labels with their speech, null where the speech is gone: topics (topic_id, topic), labels (topic_id, speech_key, source, confidence)."""
+    return labels.join(topics, "topic_id").join(speeches, "speech_key", "left")
+
+
+def relative_to_largest(t: DataFrame, value: str, within: list[str] | None = None) -> DataFrame:
+    """Adds `relative`: each value against the largest of its group, for bars and discs."""
+    return t.withColumn("relative", F.round(F.col(value) / F.max(value).over(Window.partitionBy(*(within or [F.lit(1)]))), 6))
+
+
+def share_pivot(m: Model, parties: list[int]) -> DataFrame:
+    """One column a party with its share of each day's words (0 where it said nothing); the parties are given."""
+    return day_shares(m).groupBy("meeting_date").pivot("party", parties).agg(F.first("share")).na.fill(0.0)

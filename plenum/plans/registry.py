@@ -282,3 +282,32 @@ l AS (SELECT person_id, party_id AS cur FROM speech WHERE person_id IS NOT NULL
 o AS (SELECT party_id, person_id, COUNT(*) AS speeches, CAST(SUM(word_count) AS BIGINT) AS words FROM speech WHERE party_id IS NOT NULL AND person_id IS NOT NULL GROUP BY ALL)
 SELECT party_id, person_id, speeches, words, CASE WHEN cur <> party_id THEN cur END AS current_party FROM o JOIN l USING (person_id)""")
 _add("snk7_json", lambda m: m.speech().select(F.to_json(F.struct("speech_id", "person_id", "province")).alias("value")))
+
+
+# --- further views ------------------------------------------------------------------------------------------------
+_add("win5_relative", lambda m: stats.relative_to_largest(stats.day_shares(m).select("meeting_date", "party", "words"), "words", ["meeting_date"]), _SHARES + " SELECT meeting_date, party, words, ROUND(words / MAX(words) OVER (PARTITION BY meeting_date), 6) AS relative FROM f")
+_add("agg25_share_pivot", lambda m: stats.share_pivot(m, [1, 2, 3]).select("meeting_date", F.col("1").alias("party_1"), F.col("2").alias("party_2"), F.col("3").alias("party_3")), _SHARES + " SELECT meeting_date, " + ", ".join(f"COALESCE(MAX(share) FILTER (party = {p}), 0) AS party_{p}" for p in (1, 2, 3)) + " FROM f GROUP BY 1")
+_add("joi8_not_presiding", lambda m: m.speech().where("person_id is not null").join(m.presiding(), "person_id", "left_anti").groupBy("meeting_id").agg(F.count("*").alias("speeches"), F.count_distinct("person_id").alias("people")), "SELECT meeting_id, COUNT(*) AS speeches, COUNT(DISTINCT person_id) AS people FROM speech WHERE person_id NOT IN (SELECT person_id FROM person WHERE is_presiding) GROUP BY 1")
+_add("joi10_no_province_labels", lambda m: m.speech().where("speaker_label is not null").select("speaker_label").distinct().join(m.speech().where("province is not null").select(F.col("province").alias("speaker_label")).distinct(), "speaker_label", "left_anti"), "SELECT DISTINCT speaker_label FROM speech WHERE speaker_label NOT IN (SELECT province FROM speech WHERE province IS NOT NULL)")
+_add("fil7_cloud_terms", lambda m: m.term().where(F.col("term").rlike(X.CLOUD_TERM)).select("term_id"), f"SELECT term_id FROM term WHERE {_RE}")
+_add("agg24_legend", lambda m: stats.day_shares(m).groupBy("party").agg(F.sum("words").alias("words"), F.count("*").alias("days")), _SHARES + " SELECT party, CAST(SUM(words) AS BIGINT) AS words, COUNT(*) AS days FROM f GROUP BY 1")
+
+
+def _person_page(m: Model) -> DataFrame:
+    """Every person's counts, first and last day, most frequent province and number of parties."""
+    t = stats.totals(m.speech(), "person_id").select("person_id", "speeches", "words", "meetings", "first_day", "last_day")
+    parties = stats.person_parties(m).groupBy("person_id").agg(F.count("*").alias("parties"))
+    return t.join(stats.modal(m, "person_id", "province").select("person_id", "province"), "person_id", "left").join(parties, "person_id", "left").select(*t.columns, "province", F.coalesce("parties", F.lit(0)).alias("parties"))
+
+
+_add("api6_person", _person_page, """
+t AS (SELECT person_id, COUNT(*) AS speeches, CAST(SUM(word_count) AS BIGINT) AS words, COUNT(DISTINCT meeting_id) AS meetings, MIN(meeting_date) AS first_day, MAX(meeting_date) AS last_day, COUNT(DISTINCT party_id) AS parties FROM speech WHERE person_id IS NOT NULL GROUP BY 1),
+c AS (SELECT person_id, province, COUNT(*) AS n FROM speech WHERE person_id IS NOT NULL AND province IS NOT NULL GROUP BY 1, 2),
+v AS (SELECT person_id, province FROM c QUALIFY ROW_NUMBER() OVER (PARTITION BY person_id ORDER BY n DESC, province) = 1)
+SELECT person_id, speeches, words, meetings, first_day, last_day, province, parties FROM t LEFT JOIN v USING (person_id)""")
+_add("api13_speech_view", lambda m: m.speech().join(m.person().select("person_id", "name"), "person_id", "left").select("speech_id", "meeting_id", "meeting_date", "ordinal", "name", "party_id", "province", "word_count"), "SELECT speech_id, meeting_id, meeting_date, ordinal, name, party_id, province, word_count FROM speech LEFT JOIN person USING (person_id)")
+_add("api8_party_speeches", lambda m: search.numbered(m.speech().where("party_id is not null").select("party_id", "speech_id", "meeting_date", "ordinal"), "party_id", [F.desc("meeting_date"), F.col("ordinal"), F.col("speech_id")]).select("party_id", "speech_id", "row"), "SELECT party_id, speech_id, CAST(ROW_NUMBER() OVER (PARTITION BY party_id ORDER BY meeting_date DESC, ordinal, speech_id) AS INTEGER) AS row FROM speech WHERE party_id IS NOT NULL")
+_add("seq5_event_runs", lambda m: sequence.runs(m.raw("events").select("user_id", "ts", "event_id", "event_type", "value"), "user_id", ["ts", "event_id"], "event_type").groupBy("user_id", "run").agg(F.min("event_type").alias("event_type"), F.count("*").alias("n")).select("user_id", F.col("run").cast("long").alias("run"), "event_type", "n"), """
+a AS (SELECT *, CASE WHEN event_type IS NULL OR ROW_NUMBER() OVER w = 1 OR event_type IS DISTINCT FROM LAG(event_type) OVER w THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+b AS (SELECT *, SUM(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM a)
+SELECT user_id, CAST(run AS BIGINT) AS run, MIN(event_type) AS event_type, COUNT(*) AS n FROM b GROUP BY user_id, run""")

@@ -57,6 +57,19 @@ def test_thai_segmentation():
     assert lex.tokens("") == []
 
 
+def test_rare_words_and_places():
+    base = {"ทะเล": 900, "สาบ": 900, "กรุง": 900}
+    assert tokenize.Lexicon(base, rare=["ทะเลสาบ", "ธนู"]).tokens("ทะเลสาบธนู") == ["ทะเล", "สาบ", "ธนู"]
+    assert tokenize.Lexicon(base, places=["กรุงซาบา"]).tokens("กรุงซาบา") == ["กรุงซาบา"]
+
+
+def test_mining_passes(spark):
+    texts = spark.createDataFrame([("รถไฟฟ้าดี",)] * 12 + [(None,)], "t string")
+    none = spark.createDataFrame([], "word string, tier string")
+    found = mining.mine_passes(texts, "t", {"รถ": 900, "ไฟฟ้า": 900, "ดี": 90000}, none, none.select("word"))
+    assert found["รถไฟฟ้า"] == ("corpus", 12)
+
+
 def test_latin_and_abbreviations(spark):
     r = spark.createDataFrame([("รพ.สต. ก.ค.ศ. ส.อบจ. It's a well-known x2",), (None,)], "t string").select(tokenize.abbreviations(F.col("t")).alias("a"), tokenize.latin_tokens(F.col("t")).alias("l")).collect()
     assert r[0]["a"] == ["รพ.", "สต.", "ก.ค.ศ.", "อบจ."] and r[0]["l"] == ["it's", "well-known", "x2"] and r[1]["a"] is None
