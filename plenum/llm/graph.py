@@ -1,4 +1,4 @@
-"""Connected components of an edge list, in joins."""
+"""Connected components of an edge list, and the pairs inside groups, in joins."""
 
 from __future__ import annotations
 
@@ -24,3 +24,15 @@ def components(edges: DataFrame) -> DataFrame:
         if not new.where("l <> old").limit(1).count():
             return new.select(F.col("v").alias("node"), F.col("l").alias("component"))
         labels = new.select("v", "l")
+
+
+def all_pairs(members: DataFrame, group: str, node: str, block: int) -> DataFrame:
+    """(group, a, b) of every two nodes a < b of a group, whatever its size; (group, node) must be distinct.
+
+    A group of more than `block` nodes is dealt over cells of about block x block pairs, so that no task holds it whole.
+    """
+    sizes = members.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks")).join(members, group)
+    dealt = sizes.withColumn("_own", F.pmod(F.xxhash64(node), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.expr("sequence(0, _blocks - 1)")))
+    left = dealt.select(group, F.col("_own").alias("_i"), F.col("_other").alias("_j"), F.col(node).alias("a"))
+    right = dealt.select(group, F.col("_other").alias("_i"), F.col("_own").alias("_j"), F.col(node).alias("b"))
+    return left.join(right, [group, "_i", "_j"]).where("a < b").select(group, "a", "b")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import codepoints as C
+from .graph import all_pairs
 from .storage import cut
 
 # Letters of other scripts that are drawn like a Latin letter.
@@ -131,29 +132,19 @@ def common_form(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def same_look_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", full_class: int = 200) -> DataFrame:
-    """(key_a, key_b), a < b: rows that look the same and differ in bytes.
+    """(key_a, key_b), a < b: all rows that look the same and differ in bytes.
 
-    A class of up to `full_class` rows gives all its pairs. In a larger one every row is paired with the least row of
-    another stored form (the class's first form, or for that form's own rows the second), which keeps the class connected
-    and the output linear in it: a class may hold a third of all rows. Repeated rows of one key count once. Rows with a
-    null or invisible text are in no pair.
+    Pairs of different stored forms are made first, then their rows: copies of one form never meet. Forms of a class and
+    rows of a form are dealt in blocks of about `full_class`, so that a class may hold a third of all rows; the result
+    does not depend on it. Repeated rows of one key count once. Rows with a null or invisible text are in no pair.
     """
     forms = cut(common_form(df, key, text).where(F.length("form") > 0).select(key, "form_hash", "text_hash").distinct())
-    per_text = forms.groupBy("form_hash", "text_hash").agg(F.min(key).alias("least"), F.count("*").alias("n"))
-    classes = (
-        per_text.groupBy("form_hash")
-        .agg(F.sum("n").alias("size"), F.count("*").alias("texts"), F.min(F.struct("least", "text_hash")).alias("first"))
-        .where("texts > 1")
-    )
-    second = (
-        per_text.join(classes.select("form_hash", F.col("first.text_hash").alias("h1")), "form_hash")
-        .where("text_hash <> h1").groupBy("form_hash").agg(F.min("least").alias("second"))
-    )
-    members = forms.join(classes.join(second, "form_hash"), "form_hash")
-    small = members.where(F.col("size") <= full_class)
-    a = small.select("form_hash", F.col("text_hash").alias("ta"), F.col(key).alias("ka"))
-    b = small.select("form_hash", F.col("text_hash").alias("tb"), F.col(key).alias("kb"))
-    pairs = a.join(b, "form_hash").where("ka < kb and ta <> tb").select("ka", "kb")
-    other = F.when(F.col("text_hash") == F.col("first.text_hash"), F.col("second")).otherwise(F.col("first.least"))
-    star = members.where(F.col("size") > full_class).select(F.least(F.col(key), other).alias("ka"), F.greatest(F.col(key), other).alias("kb"))
-    return pairs.unionByName(star).distinct().select(F.col("ka").alias(f"{key}_a"), F.col("kb").alias(f"{key}_b"))
+    per_text = forms.groupBy("form_hash", "text_hash").agg(F.ceil(F.count("*") / full_class).cast("int").alias("blocks"))
+    classes = per_text.groupBy("form_hash").agg(F.count("*").alias("texts")).where("texts > 1").select("form_hash")
+    texts = cut(per_text.join(classes, "form_hash"))
+    pairs = all_pairs(texts.select("form_hash", "text_hash"), "form_hash", "text_hash", full_class).select("a", "b")
+    rows = forms.join(texts.select("text_hash", "blocks"), "text_hash").withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int"))
+    side = lambda n: rows.select(F.col("text_hash").alias(n), F.col("block").alias(f"block_{n}"), F.col(key).alias(f"k{n}"))
+    blocks = lambda n: texts.select(F.col("text_hash").alias(n), F.explode(F.expr("sequence(0, blocks - 1)")).alias(f"block_{n}"))
+    met = pairs.join(blocks("a"), "a").join(blocks("b"), "b").join(side("a"), ["a", "block_a"]).join(side("b"), ["b", "block_b"]).where("ka <> kb")
+    return met.select(F.least("ka", "kb").alias(f"{key}_a"), F.greatest("ka", "kb").alias(f"{key}_b")).distinct()

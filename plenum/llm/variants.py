@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import names as N
-from .graph import components
+from .graph import all_pairs, components
 from .storage import cut
 
 #: A key shared by more forms than this is split by more letters.
 CROWDED = 60
 LIKE, LIKE_LATIN, LIKE_INITIAL = 0.86, 0.95, 0.75
-#: Components up to this size give all their pairs, larger ones a star of their least row.
+#: Components of more rows give their pairs in blocks of this size; the result does not depend on it.
 FULL_CLASS = 200
 
 
@@ -174,8 +174,5 @@ def same_person_pairs(persons: DataFrame, aliases: DataFrame) -> DataFrame:
     """(person_id_a, person_id_b), a < b, of rows that are one human being, directly or through further rows."""
     own = persons.select(F.col("id").alias("node")).distinct()
     members = cut(same_person(persons, aliases).join(own, "node"))
-    sizes = members.groupBy("component").agg(F.count("*").alias("size"), F.min("node").alias("least"))
-    small = members.join(sizes.where(F.col("size") <= FULL_CLASS), "component").select("component", "node")
-    pairs = small.withColumnRenamed("node", "a").join(small.withColumnRenamed("node", "b"), "component").where("a < b").select("a", "b")
-    star = members.join(sizes.where(F.col("size") > FULL_CLASS), "component").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    return pairs.unionByName(star).select(F.col("a").alias("person_id_a"), F.col("b").alias("person_id_b"))
+    pairs = all_pairs(members, "component", "node", FULL_CLASS)
+    return pairs.select(F.col("a").alias("person_id_a"), F.col("b").alias("person_id_b"))

@@ -230,6 +230,22 @@ def test_look_pairs(spark, full):
     assert got == every if full == 200 else got <= every and {1, 2, 3, 8} == {x for p in got for x in p}
 
 
+def test_large_look_class(spark):
+    """Every pair of a class larger than full_class, copies of one stored form apart."""
+    rows = [(i, "abc") for i in range(1, 14)] + [(i, "a\u200bbc") for i in range(20, 22)] + [(30, "\u0430bc"), (30, "\u0430bc"), (31, "abd")]
+    got = [tuple(r) for r in lookalike.same_look_pairs(spark.createDataFrame(rows, "doc_id long, text string"), full_class=3).collect()]
+    text = dict(rows)
+    want = {(a, b) for a in text for b in text if a < b and text[a] != text[b] and 31 not in (a, b)}
+    assert len(got) == len(want) == 13 * 3 + 2 and set(got) == want
+
+
+def test_large_component(spark, monkeypatch):
+    monkeypatch.setattr(variants, "FULL_CLASS", 3)
+    people, aliases = _people(spark, [(i, "สมชายศักดิ์ ใจดีมาก", False) for i in range(1, 12)])
+    got = [tuple(r) for r in variants.same_person_pairs(people, aliases).collect()]
+    assert len(got) == 55 and set(got) == {(a, b) for a in range(1, 12) for b in range(a + 1, 12)}
+
+
 # --- all
 
 
