@@ -287,6 +287,18 @@ _add("snk7_json", lambda m: m.speech().select(F.to_json(F.struct("speech_id", "p
 # --- further views ------------------------------------------------------------------------------------------------
 _add("win5_relative", lambda m: stats.relative_to_largest(stats.day_shares(m).select("meeting_date", "party", "words"), "words", ["meeting_date"]), _SHARES + " SELECT meeting_date, party, words, ROUND(words / MAX(words) OVER (PARTITION BY meeting_date), 6) AS relative FROM f")
 _add("agg25_share_pivot", lambda m: stats.share_pivot(m, [1, 2, 3]).select("meeting_date", F.col("1").alias("party_1"), F.col("2").alias("party_2"), F.col("3").alias("party_3")), _SHARES + " SELECT meeting_date, " + ", ".join(f"COALESCE(MAX(share) FILTER (party = {p}), 0) AS party_{p}" for p in (1, 2, 3)) + " FROM f GROUP BY 1")
+
+
+def _all_shares(m: Model) -> DataFrame:
+    """Every day's share of each party that has one, and of the folded rest; one column a party found in the data."""
+    parties = sorted(r[0] for r in short_list(stats.day_shares(m).select("party").distinct(), 1000))
+    wide = stats.share_pivot(m, parties)
+    return wide.select("meeting_date", *[F.col(f"`{p}`").alias("party_rest" if p == -1 else f"party_{p}") for p in parties])
+
+
+_add("agg25_all_shares", _all_shares, _SHARES + """,
+g AS (SELECT meeting_date, CASE WHEN party = -1 THEN 'party_rest' ELSE 'party_' || CAST(party AS VARCHAR) END AS party, COALESCE(share, 0) AS share FROM (SELECT DISTINCT meeting_date FROM f) CROSS JOIN (SELECT DISTINCT party FROM f) LEFT JOIN f USING (meeting_date, party))
+SELECT * FROM (PIVOT g ON party USING MAX(share) GROUP BY meeting_date)""")
 _add("joi8_not_presiding", lambda m: m.speech().where("person_id is not null").join(m.presiding(), "person_id", "left_anti").groupBy("meeting_id").agg(F.count("*").alias("speeches"), F.count_distinct("person_id").alias("people")), "SELECT meeting_id, COUNT(*) AS speeches, COUNT(DISTINCT person_id) AS people FROM speech WHERE person_id NOT IN (SELECT person_id FROM person WHERE is_presiding) GROUP BY 1")
 _add("joi10_no_province_labels", lambda m: m.speech().where("speaker_label is not null").select("speaker_label").distinct().join(m.speech().where("province is not null").select(F.col("province").alias("speaker_label")).distinct(), "speaker_label", "left_anti"), "SELECT DISTINCT speaker_label FROM speech WHERE speaker_label NOT IN (SELECT province FROM speech WHERE province IS NOT NULL)")
 _add("fil7_cloud_terms", lambda m: m.term().where(F.col("term").rlike(X.CLOUD_TERM)).select("term_id"), f"SELECT term_id FROM term WHERE {_RE}")

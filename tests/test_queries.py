@@ -47,6 +47,13 @@ def test_query(spark, duck, small, name):
         assert _rows(got) == _rows(want)
 
 
+def test_shares_are_whole(spark, small):
+    """The pivoted shares of a day with words add up to one: no party is left out."""
+    got = registry.QUERIES["agg25_all_shares"](spark, small).toPandas()
+    assert len(got.columns) > 4 and "party_rest" in got.columns
+    assert all(abs(x - 1) < 1e-4 for x in got.drop(columns="meeting_date").sum(axis=1))
+
+
 def test_flagship(spark):
     import __spark_entry__ as e
 
