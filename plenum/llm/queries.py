@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import tokenize
+from ..session import short_list
 from . import enrichment, frequency, leakage, linkage, lookalike, sentences, spans, tokenizer, turns, variants
 
 
@@ -64,6 +66,14 @@ def p4_ngrams(spark: SparkSession, d: str) -> DataFrame:
     return grams.select("n", F.concat_ws(" ", "gram").alias("gram"), "occurrences", "records")
 
 
+def p4_token_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    """Grams of one to five words of all documents, Thai and Latin."""
+    words = {r[0]: 1000 for r in short_list(_t(spark, d, "terms").select("term").where("term is not null").distinct(), 200_000)}
+    docs = tokenize.thai_tokens(_t(spark, d, "documents").dropDuplicates(["doc_id"]).select("doc_id", "text"), "text", tokenize.Lexicon(words))
+    grams = frequency.ngram_counts(docs.select("doc_id", "tokens"), "doc_id", "tokens", 5)
+    return grams.select("n", F.concat_ws(" ", "gram").alias("gram"), "occurrences", "records")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(_t(spark, d, "speech_segments"), ["segment_id", "part"]).select("segment_id", "part").distinct()
 
@@ -114,7 +124,7 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_turns, p2_found, p2_scores, p3_found, p4_found, p4_frequencies, p4_ngrams, p5_found, p5_shares,
+        p1_found, p1_turns, p2_found, p2_scores, p3_found, p4_found, p4_frequencies, p4_ngrams, p4_token_ngrams, p5_found, p5_shares,
         p6_found, p6_matches, p7_found, p8_ids, p8_decoded, p9_found, p9_passages, p10_found, p10_forms,
     )
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import clouds, enrich, incremental, names, search, sequence, stats, tokenize
+from ..operators import clouds, enrich, incremental, mining, names, search, sequence, stats, tokenize
 from ..session import short_list
 from .model import SQL, Model
 
@@ -220,15 +220,52 @@ _add("tok7_latin_tokens", lambda m: m.raw("documents").select(F.explode(tokenize
 _add("tok9_breaks", lambda m: m.speech("breaks").where("breaks is not null").select("speech_id", F.size(X.decode_breaks(F.col("breaks"))).alias("words"), (X.encode_breaks(X.decode_breaks(F.col("breaks"))) == F.col("breaks")).alias("same")))
 
 
+def _words(m: Model) -> dict[str, int]:
+    """The term list as word frequencies; every term is equally frequent here."""
+    return {r[0]: 1000 for r in short_list(m.raw("terms").select("term").where("term is not null").distinct(), 200_000)}
+
+
 def _thai_words(m: Model) -> DataFrame:
-    """Speech texts cut into the words of the term list; every term is equally frequent here."""
-    words = {r[0]: 1000 for r in short_list(m.raw("terms").select("term").where("term is not null").distinct(), 200_000)}
+    """Speech texts cut into the words of the term list."""
     s = m.speech("text").select("speech_id", "text")
-    t = tokenize.thai_tokens(s, "text", tokenize.Lexicon(words))
+    t = tokenize.thai_tokens(s, "text", tokenize.Lexicon(_words(m)))
     return t.select("speech_id", F.explode("tokens").alias("term")).groupBy("speech_id", "term").agg(F.count("*").alias("n"))
 
 
 _add("tok6_thai_words", _thai_words)
+
+
+def _texts(m: Model) -> DataFrame:
+    """All texts: of speeches, each once, and of documents."""
+    return m.speech("text").select("text").unionByName(m.raw("documents").dropDuplicates(["doc_id"]).select("text")).where("text is not null")
+
+
+def _token_bag(m: Model) -> DataFrame:
+    """The words of each document in any script; those of each speech are in tok6_thai_words."""
+    d = m.raw("documents").dropDuplicates(["doc_id"]).select("doc_id", "text")
+    return tokenize.bag_of_words(tokenize.thai_tokens(d, "text", tokenize.Lexicon(_words(m))), "doc_id", F.col("tokens"))
+
+
+def _token_ngrams(m: Model) -> DataFrame:
+    """Counts of all runs of 1 to 5 tokens of all texts; runs of two or more have at most 25 characters."""
+    docs = tokenize.thai_tokens(_texts(m), "text", tokenize.Lexicon(_words(m))).select("tokens")
+    one = mining.unigrams(docs, "tokens").select(F.array("part").alias("parts"), F.col("uses").alias("n"))
+    return one.unionByName(mining.gram_counts(docs, "tokens").select("parts", "n")).select(F.size("parts").alias("length"), F.array_join("parts", " ").alias("gram"), "n")
+
+
+def _phrases(m: Model) -> DataFrame:
+    """Phrases mined in passes over all texts and pruned; names and provinces are blocked."""
+    lexicon = m.term().where("term is not null").select(F.col("term").alias("word"), F.lit("dictionary").alias("tier"))
+    named = m.raw("person_aliases").select("alias").union(m.person().select("name")).union(m.speech().select("province"))
+    blocked = named.select(F.explode(F.split("alias", r"\s+")).alias("word")).unionByName(named.select(F.regexp_replace("alias", r"\s+", "").alias("word"))).where("word <> ''").distinct()
+    found = mining.mine_passes(_texts(m), "text", _words(m), lexicon, blocked)
+    mined = m.spark.createDataFrame([(w, t, n) for w, (t, n) in found.items()], "word string, tier string, n long")
+    return m.spark.createDataFrame(mining.prune(mined), "word string, tier string, n long")
+
+
+_add("agg10_token_bag", _token_bag)
+_add("agg20_token_ngrams", _token_ngrams)
+_add("min5_phrases", _phrases)
 _WORD = "โรงเรียน"
 _add("sea1_whole_words", lambda m: search.hits(m.speech("text", "breaks"), _WORD).select("speech_id", F.size("hits").alias("whole"), F.size("places").alias("any")).where("any > 0"))
 _add("sea3_fallback", lambda m: search.search(m.speech("text", "breaks"), "โรงเรีย", "speech_id"))
