@@ -2,8 +2,8 @@
 
 Every spelling of a row (its name, its aliases) becomes a form: the parts of the bare name, as written and in Latin
 transcription. A symmetric-delete index finds forms with a part in common up to a small edit: every part is
-entered with each of its one-character deletions, beside the first letter of another part. A crowded entry (a common
-given name) is split by the first three letters of the other part. Forms that meet are compared by the best assignment
+entered with each of its one-character deletions, beside the first letter of another part. Forms that meet there
+and whose other parts are within the edits that count as alike, however many they are, are compared by the best assignment
 of their parts, which may be misspelt, cut short, swapped, transcribed, or given by an initial; a bracketed nickname
 stands for the given name.
 
@@ -26,7 +26,7 @@ from . import names as N
 from .graph import all_pairs, components
 from .storage import cut
 
-#: A key shared by more forms than this is split by more letters.
+#: A key shared by more forms gives its pairs in blocks of this size; the result does not depend on it.
 CROWDED = 60
 LIKE, LIKE_LATIN, LIKE_INITIAL = 0.86, 0.95, 0.75
 #: Components of more rows give their pairs in blocks of this size; the result does not depend on it.
@@ -63,7 +63,7 @@ def name_forms(spellings: DataFrame) -> DataFrame:
 
 
 def _index(forms: DataFrame) -> DataFrame:
-    """(form, k, more, initial): the entries of each distinct form."""
+    """(form, k, other, initial): the entries of each distinct form, with the other part and whether that is an initial."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -76,28 +76,30 @@ def _index(forms: DataFrame) -> DataFrame:
                         continue
                     for j, q in enumerate(parts):
                         if i != j or len(parts) == 1:
-                            letter, more = ("", "") if i == j else (N.first_letter(q), "" if N.is_initial(q) else q[:3])
-                            seen |= {(f"{script}{d}|{letter}", more, N.is_initial(q)) for d in N.deletes(p)}
-                rows += [(form, k, m, x) for k, m, x in seen]
-            yield pd.DataFrame(rows, columns=["form", "k", "more", "initial"])
+                            letter, other = ("", "") if i == j else (N.first_letter(q), q)
+                            seen |= {(f"{script}{d}|{letter}", other, N.is_initial(q)) for d in N.deletes(p)}
+                rows += [(form, k, o, x) for k, o, x in seen]
+            yield pd.DataFrame(rows, columns=["form", "k", "other", "initial"])
 
-    return forms.select("form").distinct().mapInPandas(run, "form string, k string, more string, initial boolean")
+    return forms.select("form").distinct().mapInPandas(run, "form string, k string, other string, initial boolean")
 
 
 def meeting_forms(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
-    """(fa, fb) of the distinct forms that share an entry of the index; with one side, fa < fb."""
+    """(fa, fb) of the distinct forms that share an entry of the index and whose other parts may be alike; with one side, fa < fb.
+
+    Every two entries of a key meet; a crowded key is dealt over blocks of the right side, which changes no pair.
+    """
     a = cut(_index(left))
     b = a if right is None else cut(_index(right))
     order = F.col("fa") < F.col("fb") if right is None else F.lit(True)
-    crowd = b.groupBy("k").count().where(F.col("count") > CROWDED).select("k")
-    la, lb = a.withColumnRenamed("form", "fa").withColumnRenamed("initial", "ia"), b.withColumnRenamed("form", "fb").withColumnRenamed("initial", "ib")
-    calm = la.join(crowd, "k", "left_anti").drop("more").join(lb.drop("more"), "k")
-    ca, cb = la.join(crowd, "k", "left_semi"), lb.join(crowd, "k", "left_semi")
-    split = ca.join(cb, ["k", "more"])
-    short = ca.where("ia").drop("more").join(cb.where("not ib").drop("more"), "k").unionByName(cb.where("ib").drop("more").join(ca.where("not ia").drop("more"), "k"))
-    pairs = calm.select("fa", "fb").unionByName(split.select("fa", "fb"))
-    pairs = pairs.unionByName(short.select(F.least("fa", "fb").alias("fa"), F.greatest("fa", "fb").alias("fb")) if right is None else short.select("fa", "fb"))
-    return pairs.where(order).distinct()
+    sizes = b.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > (1 if right is None else 0))
+    blocks = sizes.select("k", F.ceil(F.col("n") / CROWDED).cast("int").alias("blocks"))
+    la = a.join(blocks, "k").select("k", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.col("form").alias("fa"), F.col("other").alias("oa"), F.col("initial").alias("ia"))
+    lb = b.join(blocks, "k").select("k", F.pmod(F.xxhash64("form"), F.col("blocks")).cast("int").alias("block"), F.col("form").alias("fb"), F.col("other").alias("ob"), F.col("initial").alias("ib"))
+    # what token_likeness accepts at most: two edits, or up to four letters cut off and one edit; a swap of neighbours is two edits here
+    longer = F.abs(F.length("oa") - F.length("ob"))
+    near = F.col("ia") | F.col("ib") | ((longer <= 4) & F.levenshtein("oa", "ob", 6).between(0, F.greatest(F.lit(4), longer + 2)))
+    return la.join(lb, ["k", "block"]).where(order & near).select("fa", "fb").distinct()
 
 
 def likeness(pairs: DataFrame) -> DataFrame:

@@ -81,6 +81,14 @@ def test_variants(spark):
     assert variants.same_person_pairs(people.where("false"), aliases.where("false")).count() == 0
 
 
+def test_crowded_given_name(spark):
+    """Two substitutions in the other part, one among its first letters, are found under a common given name as well."""
+    rnd = random.Random(3)
+    others = ["ก" + "".join(rnd.choice("กขคงจฉชดตถทบปผพมยรลว") for _ in range(9)) for _ in range(80)]
+    people, aliases = _people(spark, [(1, "สมชายศักดิ์ กขคงจฉชดตถ", False), (2, "สมชายศักดิ์ กลคงจฉชดลถ", False)] + [(i, f"สมชายศักดิ์ {x}", False) for i, x in enumerate(others, 3)])
+    assert (1, 2) in {tuple(r) for r in variants.same_person_pairs(people, aliases).collect()}
+
+
 def test_name_parts():
     assert names.bare("169. นางสาวก ข นางสาวก ข") == ("ก ข", [])
     assert names.latin("เทมเวมชัย") == "themwemchai" and names.latin("ปุลบองวดี") == "punbongwadi"
