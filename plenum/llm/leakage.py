@@ -2,13 +2,12 @@
 
 A positional inverted index over the documents: a term is a stretch of TERM letters and digits of the text's comparison
 form (one look for each character, lower case, plain digits, nothing else), a posting is (term, document, position).
-Only terms of some item are stored, so the index follows the leaked text and not the corpus. Of every BLOCK neighbouring
-start positions of an item the rarest term in the corpus is its anchor; the anchors' posting lists, adjusted by their
-offset in the item, give the candidate documents, and proximity matching around them gives the passage.
+Only terms of some item are stored, so the index follows the leaked text and not the corpus. Every start position of an
+item is an anchor; the anchors' posting lists give the candidate documents, and proximity matching in them gives the
+passage.
 
-Why no case is lost: a passage of half an item with one word in ten exchanged holds an unbroken stretch of at least
-TERM + BLOCK - 1 characters for any item of 150 characters or more, and such a stretch holds a whole block, thus its
-anchor. Shorter items use a shorter term.
+What can be lost: only a passage without any unbroken stretch of a term's length (TERM characters; a shorter one for
+short items). Where in the item the stretch begins, and how frequent its terms are, plays no part.
 
 Cases: null, empty and blank texts match nothing; an item without letters matches nothing; repeated rows of a key
 count once; items must be few (ITEM_LIMIT rows, checked), as they are broadcast.
@@ -32,7 +31,7 @@ from . import lookalike
 from ..session import short_list
 from .storage import cut
 
-TERM, BLOCK, ITEM_LIMIT = 26, 10, 20_000
+TERM, ITEM_LIMIT = 26, 20_000
 #: An exact run counts in proximity matching from this length on; a gap between runs may hold so many characters.
 RUN, GAP = 5, 30
 #: Share of an item that a passage must hold, and share of the passage that exchanged words may take.
@@ -165,17 +164,9 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     source = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
     found = cut(source.mapInArrow(index, schema))
     postings = found.select("key", F.explode(F.arrays_zip("terms", "positions")).alias("p")).select("key", "p.terms", "p.positions")
-    frequency = postings.groupBy("terms").agg(F.count_distinct("key").alias("df")).withColumnRenamed("terms", "term")
-    listed = [(h, n, i) for v in by_size.values() for h, n, i in v]
-    terms = spark.createDataFrame(pd.DataFrame(listed or [(0, -1, 0)], columns=["term", "item", "i"]).astype("int64"))
-    ranked = (
-        terms.join(frequency, "term")
-        .groupBy("item", F.expr(f"i div {BLOCK}").alias("block"))
-        .agg(F.min(F.struct("df", "term", "i")).alias("a"))
-        .select("item", F.col("a.term").alias("term"))
-    )
-    # the anchors are at most a TERM-th part of the items' characters, and those are bounded by ITEM_LIMIT
-    pairs = postings.select("key", F.col("terms").alias("term")).join(F.broadcast(ranked), "term").groupBy("key").agg(F.collect_set("item").alias("items"))
+    listed = sorted({(h, n) for v in by_size.values() for h, n, _ in v})
+    anchors = spark.createDataFrame(pd.DataFrame(listed or [(0, -1)], columns=["term", "item"]).astype("int64"))
+    pairs = postings.select("key", F.col("terms").alias("term")).distinct().join(anchors, "term").groupBy("key").agg(F.collect_set("item").alias("items"))
     shares = spark.sparkContext.broadcast(plain)
 
     out = T.StructType([T.StructField("key", doc_type), T.StructField("item", T.LongType()), T.StructField("share", T.DoubleType()), T.StructField("exchanged", T.DoubleType())])

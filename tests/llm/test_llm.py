@@ -218,6 +218,17 @@ def test_leaks(spark):
     assert leakage.leaks(d.where("false"), items).count() == 0 and leakage.leaks(d, items.where("false")).count() == 0
 
 
+def test_leak_between_blocks(spark):
+    """A passage whose unbroken stretches (30 characters) are one term long and little more, away from the item's start, is found."""
+    rnd = random.Random(4)
+    item = "".join(rnd.choice("กขคงจฉชดตถทนบปผพมยรลวสหอ") for _ in range(200))
+    part = item[71:191]
+    broken = "".join("ฮ" if i % 31 == 30 else c for i, c in enumerate(part))
+    d = spark.createDataFrame([(1, broken), (2, item), (3, "อื่น")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.leaks(d, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1)}
+
+
 # --- problem 10
 
 
