@@ -10,7 +10,8 @@ FILLERS = ("เอ่อ", "เอ้อ", "อ้า", "อ่า", "อืม"
 CLOCK = r"(?:\d{1,2}:)?\d{1,2}:\d{2}(?:[.,]\d{1,3})?"
 TIME = rf"(?<![\w:]){CLOCK}(?:\s*-->\s*{CLOCK})?(?![\w:])"
 #: Anything set apart by brackets, dashes, notes or stars: a remark, a time mark, a role or a heading, never speech.
-ASIDE = r"\[[^\[\]\n]{0,160}\]|<[^<>\n]{0,160}>|\{[^{}\n]{0,160}\}|\([^()\n]{0,160}\)|—[^—\n]{1,80}—|♪[^♪\n]{0,80}♪|\*[^*\n]{1,80}\*"
+#: It ends on its line; its length has no bound.
+ASIDE = r"\[[^\[\]\n]*\]|<[^<>\n]*>|\{[^{}\n]*\}|\([^()\n]*\)|—[^—\n]+—|♪[^♪\n]*♪|\*[^*\n]+\*"
 ASIDES = re.compile(rf"{ASIDE}|{TIME}|>>")
 FILLER = re.compile(r"(?<![^\s,])(?:%s)(?:\s*ๆ)?(?=[\s,.!?…]|$),?" % "|".join(map(re.escape, sorted(FILLERS, key=len, reverse=True))), re.I)
 WORD = re.compile(r"[^\W_]")
@@ -29,13 +30,14 @@ def has_words(text: str) -> bool:
 
 
 def first_time(text: str) -> float | None:
-    """Seconds of the first time mark in a stretch."""
+    """Seconds of the first time mark that a machine set: in brackets, as a range, or with a fraction; no spoken clock time."""
     for m in ASIDES.finditer(text):
-        t = OFFSET_MARK.search(m.group())
+        mark = m.group()
+        t = OFFSET_MARK.search(mark)
         if t:
             return float(t.group(1))
-        c = CLOCK_PARTS.search(m.group())
-        if c:
+        c = CLOCK_PARTS.search(mark)
+        if c and (not mark[0].isdigit() or "-->" in mark or c.group(4)):
             h, mi, s, f = c.groups()
             return int(h or 0) * 3600 + int(mi) * 60 + int(s) + (float("0." + "".join(str(int(d)) for d in f)) if f else 0.0)
     return None

@@ -1,9 +1,12 @@
 """Problem 1: speech transcripts into clean speaker turns.
 
 A text is cut at headings that name the next speaker by a known spelling. The stretches are ordered as a graph of
-precedence constraints: dialogue order (each stretch before the next one in the text), cues (a heading before the words
-it opens) and timing (an earlier time mark before a later one). Constraints enter by strength, dialogue before cue before
-timing, and one that would close a circle with those already in is dropped as conflicting; a topological order of what
+precedence constraints: dialogue order (each stretch before the next one in the text), cues (words that a heading without
+words of its own announces stay behind it) and timing (an earlier machine time mark before a later one). Timing is the
+strongest where the marks of a text prove reliable, that is, where at least RELIABLE stretches have one and all but one
+in OUTLIERS of them already ascend; then a stretch that was moved returns to its time. Marks that contradict each other
+more often than that say nothing and give no constraint. Constraints enter by strength, timing before cue before
+dialogue, and one that would close a circle with those already in is dropped as conflicting; a topological order of what
 remains, earliest in the text first, gives the sequence. Stretches are then cleaned, those without words dropped, and
 neighbours of one speaker merged.
 
@@ -18,7 +21,9 @@ scraped_at); a spelling of several persons stands for the least id; a heading th
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -28,10 +33,12 @@ from pyspark.sql import types as T
 from .storage import cut
 from .transcript import ASIDES, BLANKS, first_time, has_words, spoken
 
-ROLE = r"(?:\s*\([^()\n]{0,120}\))?"
+#: Fewest time marks that can order stretches, and one in how many of them may stand out of order.
+RELIABLE, OUTLIERS = 6, 6
+ROLE = r"(?:\s*\([^()\n]*\))?"
 #: A colon that may end a heading: after a name and perhaps a role, not inside a clock time.
 COLON = re.compile(ROLE + r"[^\S\n]*[:：](?!\d)")
-BRACKET = re.compile(r"<([^<>\n]{2,160})>|\[([^\[\]\n]{2,160})\]")
+BRACKET = re.compile(r"<([^<>\n]{2,})>|\[([^\[\]\n]{2,})\]")
 TOKEN = re.compile(r"[^\s]+")
 CUE = re.compile(r">>[^\S\n]*$")
 
@@ -57,15 +64,27 @@ def candidates(text: str, longest: int) -> list[tuple[int, int, str]]:
     return out
 
 
+def reliable(times: list[float]) -> bool:
+    """Whether marks in text order ascend but for a few: their longest ascending subsequence leaves out at most one in OUTLIERS."""
+    if len(times) < RELIABLE:
+        return False
+    tops: list[float] = []
+    for t in times:
+        at = bisect_right(tops, t)
+        tops[at : at + 1] = [t]
+    return len(times) - len(tops) <= len(times) // OUTLIERS
+
+
 def order_stretches(times: list[float | None], cued: list[bool]) -> list[int]:
-    """The sequence of a text's stretches under their precedence constraints."""
+    """The sequence of a text's stretches under their precedence constraints. cued: opened by the stretch before it."""
     n = len(times)
-    if n < 2:
-        return list(range(n))
-    strong = [(3, i, i + 1) for i in range(n - 1)] + [(2, i, i + 1) for i in range(n - 1) if cued[i + 1]]
     timed = [i for i in range(n) if times[i] is not None]
+    marks = [times[i] for i in timed]
+    if marks == sorted(marks) or not reliable(marks):
+        return list(range(n))  # no timing edge contradicts the chain of dialogue
     timed.sort(key=lambda i: (times[i], i))
-    strong += [(1, a, b) for a, b in zip(timed, timed[1:]) if times[a] != times[b]]
+    edges = list(zip(timed, timed[1:]))
+    edges += [(i, i + 1) for i in range(n - 1) if cued[i + 1]] + [(i, i + 1) for i in range(n - 1)]
     after: list[set[int]] = [set() for _ in range(n)]
 
     def reaches(a: int, b: int) -> bool:
@@ -79,23 +98,22 @@ def order_stretches(times: list[float | None], cued: list[bool]) -> list[int]:
                 todo += after[x]
         return False
 
-    for _, a, b in sorted(strong, key=lambda e: (-e[0], e[1], e[2])):
-        # along the chain of dialogue a later stretch never reaches an earlier one
-        if b not in after[a] and not (b < a and reaches(b, a)):
+    for a, b in edges:
+        if not reaches(b, a):
             after[a].add(b)
     waiting = [0] * n
     for a in range(n):
         for b in after[a]:
             waiting[b] += 1
     ready, out = [i for i in range(n) if not waiting[i]], []
+    heapify(ready)
     while ready:
-        ready.sort(reverse=True)
-        a = ready.pop()
+        a = heappop(ready)
         out.append(a)
         for b in after[a]:
             waiting[b] -= 1
             if not waiting[b]:
-                ready.append(b)
+                heappush(ready, b)
     return out
 
 
@@ -109,10 +127,11 @@ def turns_of(text: str, person: int | None, headings: list[tuple[int, int, int]]
     begins = [(0, person)] + [(e, p) for _, e, p in places]
     ends = [b for b, _, _ in places] + [len(text)]
     stretches = [text[b:e] for (b, _), e in zip(begins, ends)]
-    order = order_stretches([first_time(s) for s in stretches], [i > 0 for i in range(len(stretches))]) if places else [0]
+    worded = [has_words(s) for s in stretches]
+    order = order_stretches([first_time(s) for s in stretches], [i > 0 and not worded[i - 1] for i in range(len(stretches))])
     out: list[tuple[int | None, str]] = []
     for i in order:
-        if not has_words(stretches[i]):
+        if not worded[i]:
             continue
         who, words = begins[i][1], spoken(stretches[i])
         if out and out[-1][0] == who:
@@ -140,7 +159,7 @@ def headings(speeches: DataFrame, names: DataFrame) -> DataFrame:
             rows = [(i, p, t, c) for i, p, t in zip(f["id"], f["person_id"].astype("Int64"), f["text"]) if (c := candidates(t, longest))]
             yield pd.DataFrame(rows, columns=["id", "person_id", "text", "at"]).astype({"person_id": "Int64"})
 
-    shaped = speeches.where(F.col("text").rlike(r"[:：]|<[^<>\n]{2,160}>|\[[^\[\]\n]{2,160}\]")).select(F.col("id").cast("long").alias("id"), F.col("person_id").cast("long").alias("person_id"), "text")
+    shaped = speeches.where(F.col("text").rlike(r"[:：]|<[^<>\n]{2,}>|\[[^\[\]\n]{2,}\]")).select(F.col("id").cast("long").alias("id"), F.col("person_id").cast("long").alias("person_id"), "text")
     shaped = cut(shaped.mapInPandas(read, schema).dropDuplicates(["id"]))
     read_as = shaped.select("id", F.explode("at").alias("c")).select("id", "c.begin", "c.end", "c.name")
     hits = read_as.join(names.withColumnRenamed("person_id", "who"), "name")

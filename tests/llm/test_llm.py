@@ -44,6 +44,18 @@ def test_turns(spark):
 def test_order_of_stretches():
     assert turns.order_stretches([5.0, 1.0, None], [False, True, True]) == [0, 1, 2]
     assert turns.order_stretches([], []) == []
+    # reliable marks move a stretch to its time, with the unmarked words that follow it; one mark more out of order, and they say nothing
+    moved = [10.0, 50.0, None, 20.0, 30.0, 40.0, 60.0]
+    assert turns.order_stretches(moved, [False] * 7) == [0, 3, 4, 5, 1, 2, 6]
+    assert turns.order_stretches([10.0, 50.0, None, 20.0, 40.0, 30.0, 60.0], [False] * 7) == list(range(7))
+    assert turns.order_stretches(moved[:5], [False] * 5) == list(range(5))
+
+
+def test_turns_in_order_of_time():
+    text = "[00:10] a ก [00:50] e ข [00:20] b ค [00:30] c ง [00:40] d จ [01:00] f"
+    cuts = [(text.index(x), text.index(x) + 2, n) for n, x in enumerate("กขคงจ", 1)]
+    assert [w for _, w in turns.turns_of(text, 0, cuts)] == ["a", "b", "c", "d", "e", "f"]
+    assert turns.turns_of("พูด (" + "ย" * 400 + ") ต่อ", 1, []) == [(1, "พูด ต่อ")]
 
 
 # --- problem 2
@@ -216,6 +228,21 @@ def test_leaks(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item", F.lit(0))
     assert {(r["doc_id"], r["item_id"]) for r in leakage.leaks(d.where("not (doc_id = 1 and length(text) < 100)"), items).collect()} == {(1, 1), (2, 1), (3, 1), (9, 2)}
     assert leakage.leaks(d.where("false"), items).count() == 0 and leakage.leaks(d, items.where("false")).count() == 0
+    assert {r["doc_id"]: r["kind"] for r in leakage.leaks(d, items).where("doc_id in (1, 3)").collect()} == {1: "exact", 3: "near"}
+
+
+def test_offsets_must_agree(spark):
+    """Terms of an item at contradicting offsets, and a formula of many items, propose no document."""
+    kind = "key long, term long, pos int"
+    anchors = spark.createDataFrame([(t, 0, t) for t in range(100)], "term long, item long, i int")
+    known = spark.createDataFrame([(0, 26, 4)], "item long, k int, least int")
+    apart = spark.createDataFrame([(1, 10 * j, 700 * j) for j in range(8)] + [(2, 10 * j, 10 * j + 500 + j) for j in range(8)] + [(3, j, j + 9) for j in range(60)], kind)
+    got = {r["key"]: r["exact"] for r in leakage.intersect(apart, anchors, known).collect()}
+    assert got == {2: 26, 3: 85} or (got.keys() == {2, 3} and got[3] == 85)
+    shared = spark.createDataFrame([(t if t < 9 else 1000 * n + t, n, t) for n in range(5) for t in range(100)], "term long, item long, i int")
+    lists = spark.createDataFrame([(d, t, t) for d in range(20) for t in range(9)] + [(77, 1000 + t, t) for t in range(9, 60)], kind)
+    kept = {(r["item"], r["i"]) for r in leakage.rare_anchors(shared, lists).collect()}
+    assert kept == {(1, t) for t in range(9, 60)}
 
 
 def test_leak_between_blocks(spark):
