@@ -192,6 +192,27 @@ def test_sentences(spark):
     assert hidden.ends("ก ชุมคะ ข", None) == [9] and hidden.ends("ก มาคะ ข", None) == [6, 8]
 
 
+def test_word_lattice():
+    """A word that crosses the particle's begin wins or loses by the path's cost, stored boundaries, or the opening word."""
+    cut = sentences.Boundaries(frozenset(["ภาค", "รับ", "ภาษี", "กลุ่ม", "กลุ่มภา"]))
+    assert cut.ends("ภาษีภาครับ ไป") == [13]  # ภาค|รับ: no particle
+    assert cut.ends("ภาษีภาคครับ ไป") == [11, 14]
+    assert cut.ends("กลุ่มภาครับ ไป") == [14 - 3, 14]  # กลุ่มภา|ครับ is shorter than กลุ่ม|ภาค|รับ
+    tie = sentences.Boundaries(frozenset(["ภา", "ภาค", "รับ"]))
+    assert tie.ends("ภาครับ ไป") == [9] and tie.ends("ภาครับ ขอไป") == [6, 11]
+    assert sentences.Boundaries().ends("ภาครับ ไป") == [6, 9]
+    assert cut.ends("ภาครับ ไป", "321") == [9] and tie.ends("ภาครับ ไป", "243") == [6, 9]
+    assert tie.ends("ภาครับ ไป", "24") == [9]  # stale boundaries are not used
+
+
+def test_terminator_lattice():
+    find = lambda t: [t[a:b].strip() for a, b in zip([0] + e[:-1], e)] if (e := sentences.Boundaries().ends(t)) else []
+    assert find("Back to the U.S. They moved. At 5 p.m. He left.") == ["Back to the U.S.", "They moved.", "At 5 p.m.", "He left."]
+    assert find("The U.S. Congress met at 5 p.m. on Monday. J. R. Smith came. See Dr. The.") == ["The U.S. Congress met at 5 p.m. on Monday.", "J. R. Smith came.", "See Dr. The."]
+    long_ = "“" + "ก" * 3000 + "ครับ ไป” ครับ"
+    assert find(long_ + " ต่อ") == [long_, "ต่อ"]
+
+
 # --- problem 8
 
 
