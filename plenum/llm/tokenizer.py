@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from .storage import cut
 
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-# Fixed value: the pattern that splits text into words before merging.
-WORDS = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Fixed value: the blanks of the pattern that splits text into words before merging.
+_BLANK = r"\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: That pattern: a contraction, letters, digits or signs with at most one blank before them, or blanks.
+WORDS = rf"'(?:[stmd]|re|ve|ll)| ?(?:\p{{L}}++|\p{{N}}++|[^{_BLANK}\p{{L}}\p{{N}}]++)|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
 BUCKETS = 1 << 13
 CACHE = 20_000
 NONE = 0x7FFFFFFF
@@ -111,7 +113,8 @@ def _pieces_pattern(path: str) -> str:
         return r"(?s).+"
     first = lambda b: "\\u%04x-\\u%04x" % (max(0x800, (b & 15) << 12), min(((b & 15) << 12) + 0xFFF, 0xFFFF))
     starts = "".join(first(b) for b in free)
-    return rf"(?s).(?:[^{starts}]|(?<=[\x00-\x7f])[{starts}])*"
+    # a run of ASCII takes the next character along, whatever it is
+    return rf"(?s)(?:[\x00-\x7f]++.?|.)(?:[^{starts}\x00-\x7f]|[\x00-\x7f]++.?)*+"
 
 
 def pieces(word: Column, path: str) -> Column:
