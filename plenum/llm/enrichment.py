@@ -12,7 +12,7 @@ two of its sums; a hot term or record is pre-aggregated before each shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -78,14 +78,18 @@ def log_upper_tail(k: np.ndarray, n: np.ndarray, big_k: np.ndarray, big_n: np.nd
     return np.minimum(out, 0.0)
 
 
-def term_scores(counts: DataFrame, record: list[str], term: str = "term_id", count: str = "count") -> DataFrame:
-    """(record..., term, k, n, all_k, all_n, score, rank, adjusted) of every term of every record; `record[0]` names the collection."""
+def term_scores(counts: DataFrame, record: list[str], term: str = "term_id", count: str = "count", reported: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(record..., term, k, n, all_k, all_n, score, rank, adjusted) of every term of every record; `record[0]` names the collection.
+
+    `reported` keeps the rows of the records to be scored; all records count in the collection's sums.
+    """
     collection = record[0]
     base = counts.where(F.col(count) > 0).dropna(subset=[*record, term]).groupBy(*record, term).agg(F.sum(count).cast("long").alias("k"))
     per_record = Window.partitionBy(*record)
     sized = base.withColumn("n", F.sum("k").over(per_record)).withColumn("m", F.count("*").over(per_record))
     per_term = base.groupBy(collection, term).agg(F.sum("k").alias("all_k"))
     whole = per_term.groupBy(collection).agg(F.sum("all_k").alias("all_n"))
+    sized = reported(sized) if reported else sized
     rows = sized.join(per_term, [collection, term]).join(whole, collection)
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,6 +107,10 @@ def term_scores(counts: DataFrame, record: list[str], term: str = "term_id", cou
     return raw.withColumn("adjusted", F.max("raw").over(upward)).drop("raw", "m")
 
 
-def characteristic_terms(counts: DataFrame, record: list[str], term: str = "term_id", count: str = "count") -> DataFrame:
-    """(record..., term): the one term each record stands out by most."""
-    return term_scores(counts, record, term, count).where("rank = 1").select(*record, term)
+def characteristic_terms(counts: DataFrame, record: list[str], term: str = "term_id", count: str = "count", reported: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(record..., term): the one term each record stands out by most, by its adjusted score.
+
+    The adjustment keeps the order within a record and may make neighbours equal; those are told apart by the raw score, so
+    the first term is that of rank 1.
+    """
+    return term_scores(counts, record, term, count, reported).where("rank = 1").select(*record, term)

@@ -38,9 +38,9 @@ def _p2_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    found = enrichment.characteristic_terms(_p2_counts(spark, d), ["record_kind", "record_id"])
-    persons = found.where("record_kind = 'person'").join(_p2_records(spark, d), ["record_kind", "record_id"], "left_semi")
-    return found.where("record_kind = 'meeting'").unionByName(persons).select("record_kind", "record_id", F.col("term_id").cast("int").alias("term_id"))
+    reported = _p2_records(spark, d).withColumn("listed", F.lit(True))
+    found = enrichment.characteristic_terms(_p2_counts(spark, d), ["record_kind", "record_id"], reported=lambda rows: rows.join(reported, ["record_kind", "record_id"], "left").where("record_kind = 'meeting' or listed").drop("listed"))
+    return found.select("record_kind", "record_id", F.col("term_id").cast("int").alias("term_id"))
 
 
 def p2_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -74,6 +74,14 @@ def p4_token_ngrams(spark: SparkSession, d: str) -> DataFrame:
     return grams.select("n", F.concat_ws(" ", "gram").alias("gram"), "occurrences", "records")
 
 
+def p4_repeats(spark: SparkSession, d: str) -> DataFrame:
+    """Every run of more than eight words, of any length, that stands at more than one place in the documents."""
+    words = {r[0]: 1000 for r in short_list(_t(spark, d, "terms").select("term").where("term is not null").distinct(), 200_000)}
+    docs = tokenize.thai_tokens(_t(spark, d, "documents").dropDuplicates(["doc_id"]).select("doc_id", "text"), "text", tokenize.Lexicon(words))
+    grams = frequency.ngram_counts(docs.select("doc_id", "tokens"), "doc_id", "tokens")
+    return grams.where(F.col("n") > frequency.STEP).select("n", F.concat_ws(" ", "gram").alias("gram"), "occurrences", "records")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(_t(spark, d, "speech_segments"), ["segment_id", "part"]).select("segment_id", "part").distinct()
 
@@ -124,7 +132,7 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_turns, p2_found, p2_scores, p3_found, p4_found, p4_frequencies, p4_ngrams, p4_token_ngrams, p5_found, p5_shares,
+        p1_found, p1_turns, p2_found, p2_scores, p3_found, p4_found, p4_frequencies, p4_ngrams, p4_token_ngrams, p4_repeats, p5_found, p5_shares,
         p6_found, p6_matches, p7_found, p8_ids, p8_decoded, p9_found, p9_passages, p10_found, p10_forms,
     )
 }

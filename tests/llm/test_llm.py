@@ -76,6 +76,10 @@ def test_terms(spark):
     df = spark.createDataFrame(rows, "kind string, rec long, term_id long, count long").withColumn("score", F.lit("x"))
     assert sorted(tuple(r) for r in enrichment.characteristic_terms(df, ["kind", "rec"]).collect()) == [("m", 1, 1), ("m", 2, 2)]
     assert enrichment.term_scores(df.where("false"), ["kind", "rec"]).count() == 0
+    # records that are not reported still count in the sums, and the adjusted score keeps the order
+    whole = {(r["rec"], r["term_id"]): (r["score"], r["adjusted"]) for r in enrichment.term_scores(df, ["kind", "rec"]).collect()}
+    one = {(r["rec"], r["term_id"]): (r["score"], r["adjusted"]) for r in enrichment.term_scores(df, ["kind", "rec"], reported=lambda x: x.where("rec = 2")).collect()}
+    assert one == {k: v for k, v in whole.items() if k[0] == 2} and all(a <= s for s, a in whole.values())
 
 
 # --- problem 3
@@ -124,6 +128,30 @@ def test_frequencies(spark):
     assert got == {(len(g), g): (occ[g], rec[g]) for g in occ}
 
 
+def test_ngrams_of_any_length(spark, monkeypatch):
+    """Beyond STEP tokens, and with hot tokens dealt over salts: every gram at two places, against counting."""
+    rnd = random.Random(6)
+    long_ = [rnd.choice("abcde") for _ in range(30)]
+    docs = [[rnd.choice("abcde") for _ in range(40)] for _ in range(12)] + [long_, ["a"] + long_[:25] + ["b"], long_, ["a"] * 15]
+    rows = list(enumerate(docs))
+    copies = Counter(tuple(d) for d in docs)
+    occ, rec, places = Counter(), Counter(), Counter()
+    for d, w in copies.items():
+        grams = [d[i : i + n] for n in range(1, len(d) + 1) for i in range(len(d) - n + 1)]
+        places.update(grams)
+        occ.update({g: w * c for g, c in Counter(grams).items()})
+        rec.update(dict.fromkeys(set(grams), w))
+    want = {g: (occ[g], rec[g]) for g in occ if len(g) <= 8 or places[g] > 1}
+    df = spark.createDataFrame(rows, "id long, t array<string>")
+    for group in (200_000, 5):
+        monkeypatch.setattr(frequency, "GROUP", group)
+        got = {tuple(r["gram"]): (r["occurrences"], r["records"]) for r in frequency.ngram_counts(df, "id", "t").collect()}
+        assert got == want and max(map(len, got)) == 26 - 1
+    ten = {tuple(r["gram"]): (r["occurrences"], r["records"]) for r in frequency.ngram_counts(df, "id", "t", 10).collect()}
+    assert ten == {g: (occ[g], rec[g]) for g in occ if len(g) <= 10}
+    assert frequency.ngram_counts(df.where("false"), "id", "t").count() == 0
+
+
 def test_marks(spark):
     st = spark.createDataFrame([(s, 1, 1) for s in range(30)] + [(0, 2, 5), (1, 3, 1), (2, 3, 1), (3, 4, None), (3, 5, 0), (0, 2, 5), (1, 6, 9), (2, 6, 9)], "speech_id long, term_id long, count int")
     terms = spark.createDataFrame([(1, "a", None), (2, "b", False), (3, "c", False), (4, "d", None), (5, "e", None), (6, "f", True)], "id long, term string, is_stopword boolean")
