@@ -3,15 +3,16 @@
 Rows are routed, not paired. Winnowing picks in every stretch of SPAN characters at least one anchor of ANCHOR
 characters; a shared stretch of SPAN characters has an anchor with at least SIDE more shared characters to its left or
 right, so an occurrence is kept only if (anchor, its SIDE characters on one side) occurs in another row too. What stays
-are the rows that share at least ANCHOR + SIDE characters. Their surroundings (which hold every stretch of SPAN
-characters around the anchor) go to the reference shard of that key: the shard is a suffix automaton over its
-surroundings, every one is streamed through it for its matching statistics against the others, and the maximal spans
-of SPAN or more characters are mapped back and united per row.
+are the rows that share at least ANCHOR + SIDE characters. Keys that occur in the same rows form a class: its surroundings
+in a row (which hold every stretch of SPAN characters around its anchors) are united to ranges and sent once. A class is a
+reference shard: a suffix automaton over its ranges, through which every one of them is streamed for its matching
+statistics against the other rows; the maximal spans of SPAN or more characters are mapped back and united per row.
 
-Automata live in the task that holds the key and are not broadcast: broadcasting every shard to every row would grow as
-the square of the collection. A shard takes SHARD surroundings; a key with more (it may hold a third of all rows)
-counts the exact windows of SPAN characters around the anchor by aggregation instead, which needs no group in one task;
-copies are counted once there.
+Automata live in the task that holds the class and are not broadcast: broadcasting every shard to every row would grow as
+the square of the collection. Long copies are cut into blocks of BLOCK characters by the mean place of a key, which is the
+same in all rows. A shard takes keys with up to SHARD places; a key with more (it may hold a third of all rows) counts
+the exact windows of SPAN characters in its ranges by aggregation instead, which needs no group in one task; copies are
+counted once there.
 
 Cases: null texts and texts shorter than SPAN share nothing; equal texts under different keys share everything;
 repeated rows of one key count once; offsets count characters (code points).
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 from . import codepoints as C
 from .storage import cut
 
-SPAN, ANCHOR, SHARD = 100, 30, 64
+SPAN, ANCHOR, SHARD, BLOCK = 100, 30, 64, 4096
 WINDOW = SPAN - ANCHOR + 1
 SIDE = (SPAN - ANCHOR + 1) // 2
 
@@ -159,16 +160,24 @@ def shared_spans(segments: DataFrame, key: list[str], text: str = "text") -> Dat
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[ok])), pa.array(pos[ok].astype(np.int32)), pa.array(side[ok])], names=["id", "pos", "k"])
 
     places = source.mapInArrow(mark, T.StructType([T.StructField("id", kind), T.StructField("pos", T.IntegerType()), T.StructField("k", T.LongType())]))
-    # counted with map-side aggregation: no list of a key's rows is ever built
-    several = places.groupBy("k").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).where("a <> b").select("k", "n")
-    chosen = cut(places.join(several, "k"))
-    around = source.join(chosen.groupBy("id").agg(F.collect_set(F.struct("pos", "k", "n")).alias("at")), "id")
+    # counted with map-side aggregation over numbers: no list of a key's rows is ever built
+    hashed = places.withColumn("h", F.xxhash64("id"))
+    counts = hashed.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.count("*").alias("n"), F.try_sum(F.col("h").bitwiseAND(F.lit((1 << 40) - 1))).alias("rows"), F.sum(F.col("pos").cast("long")).alias("at"))
+    several = counts.where("a <> b").select("k", "n", F.xxhash64("n", F.coalesce("rows", "k"), F.floor(F.col("at") / F.col("n") / BLOCK)).alias("c"))
+    chosen = places.join(several, "k").groupBy("id", "c").agg(F.max("n").alias("n"), F.array_sort(F.collect_set("pos")).alias("at"))
     lead = SPAN - ANCHOR
+    ranges = F.expr(
+        f"""aggregate(at, cast(array() as array<struct<b:int,e:int>>), (acc, x) ->
+             if(size(acc) > 0 and greatest(x - {lead}, 0) <= acc[size(acc) - 1].e,
+                concat(slice(acc, 1, size(acc) - 1), array(named_struct('b', acc[size(acc) - 1].b, 'e', x + {ANCHOR + lead}))),
+                concat(acc, array(named_struct('b', greatest(x - {lead}, 0), 'e', x + {ANCHOR + lead})))))"""
+    )
+    per_row = cut(chosen.select("id", "c", "n", F.explode(ranges).alias("r")))
+    around = source.join(per_row.groupBy("id").agg(F.collect_list(F.struct("c", "n", "r")).alias("at")), "id")
     cuts = (
         around.select("id", "text", F.explode("at").alias("p"))
-        .select("id", F.col("p.k").alias("k"), F.col("p.n").alias("n"), F.greatest(F.col("p.pos") - lead, F.lit(0)).alias("from"), F.col("p.pos").alias("pos"), "text")
-        .select("id", "k", "n", "from", F.expr(f"substring(text, `from` + 1, pos + {ANCHOR + lead} - `from`)").alias("around"))
-    )
+        .select("id", F.col("p.c").alias("k"), F.col("p.n").alias("n"), F.col("p.r.b").alias("from"), F.substring("text", F.col("p.r.b") + 1, F.col("p.r.e") - F.col("p.r.b")).alias("around"))
+    )
     small, large = cuts.where(F.col("n") <= SHARD), cuts.where(F.col("n") > SHARD)
     span_schema = T.StructType([T.StructField("id", kind), T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
