@@ -54,7 +54,7 @@ def _plain() -> np.ndarray:
     """For code points in the common form: lower case, ASCII digit, or 0 where the character is no letter, mark or digit."""
     to = np.zeros(lookalike.TOP, np.uint32)
     for i in range(lookalike.TOP):
-        if 0x3400 <= i < 0xA000 or 0xAC00 <= i < 0xD7A4:
+        if 0x3400 <= i < 0xA000 or 0xAC00 <= i < 0xD7A4 or 0x20000 <= i < 0x2F800:
             to[i] = i
             continue
         ch = chr(i)

@@ -11,8 +11,11 @@ Every candidate pair (roster row i, person j) has a truth value x_ij in [0, 1].
 
 Their sum is convex and is minimised by consensus alternating directions: each potential keeps its own copies of its
 variables and moves them by a closed-form step, the copies' mean is the new truth value. Potentials never cross the
-connected components of the candidate pairs, so the components are spread over the tasks and each task runs the steps
-for all its components at once, as flat arrays. The final value is the match's confidence.
+connected components of the candidate pairs, so the components are spread over the tasks; a task takes whole components
+until BATCH pairs are together, and runs the steps for them at once, as flat arrays (about 500 bytes a pair: a component is
+solved in one task). The steps go on until truth values and copies agree; a problem that does not get there in ROUNDS is
+an error, not a result. like(j, k) is the likeness of the two persons' own spellings. The final value is the match's
+confidence.
 
 Cases: a roster row with a known person, or persons already held by one, take no part; null names, parties and provinces
 are no evidence; repeated rows count once; ties go to the greater likeness, then the lesser id.
@@ -34,7 +37,9 @@ from .storage import cut
 from .variants import likeness, meeting_forms, name_forms, spellings
 
 CONFIDENT = 0.5
-STEP, ROUNDS, CLOSE = 1.0, 400, 1e-4
+STEP, ROUNDS, CLOSE = 1.0, 20_000, 1e-4
+#: Candidate pairs that a task solves at once, if they are not of one component.
+BATCH = 50_000
 # What a roster writes instead of a province for seats from a list, and short forms of "province".
 PARTY_LIST = ("แบบบัญชีรายชื่อ", "บัญชีรายชื่อ")
 PROVINCE = re.compile(r"^(?:จังหวัด|จ\.)\s*")
@@ -110,8 +115,30 @@ def solve(member: np.ndarray, person: np.ndarray, like: np.ndarray, party: np.nd
         moved = np.abs(new - z).max()
         z = new
         if moved < CLOSE and np.abs(x - z[var_]).max() < 10 * CLOSE:
-            break
-    return z
+            return z
+    raise ArithmeticError(f"no agreement after {ROUNDS} rounds: {moved:.2g}")
+
+
+def _solved(f: pd.DataFrame) -> pd.DataFrame:
+    """The truth values of whole components."""
+    party = np.where(f["party_id"].isna() | f["p_party_id"].isna(), np.nan, (f["party_id"] == f["p_party_id"]).astype(float))
+    province = np.array([np.nan if s is None else s for s in map(same_place, f["province"], f["p_province"])], float)
+    at = {pair: i for i, pair in enumerate(zip(f["m"], f["p"]))}
+    alike = [(i, at[m, x["q"]], x["like"]) for i, (m, near) in enumerate(zip(f["m"], f["near"])) if near is not None for x in near]
+    x = solve(f["m"].to_numpy(), f["p"].to_numpy(), f["like"].to_numpy(), party, province, alike)
+    return pd.DataFrame({"member_no": f["m"], "person_id": f["p"], "like": f["like"], "x": x})
+
+
+def _alike_candidates(pairs: DataFrame, forms: DataFrame) -> DataFrame:
+    """(m, p, near): for every candidate pair the persons q, also candidates of m, whose spellings are like those of p."""
+    own = cut(forms.join(pairs.groupBy("m").agg(F.collect_set("p").alias("p")).where(F.size("p") > 1).select(F.explode("p").alias("id")).distinct().hint("merge"), "id"))
+    alike = likeness(meeting_forms(own.select("form"))).select("fa", "fb", "like")
+    same = own.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select(F.col("form").alias("fa"), F.col("form").alias("fb"), F.lit(1.0).alias("like"))
+    side = lambda f, i: own.select(F.col("form").alias(f), F.col("id").alias(i)).hint("merge")
+    one_way = alike.unionByName(same).join(side("fa", "p"), "fa").join(side("fb", "q"), "fb").where("p <> q")
+    both = one_way.select("p", "q", "like").unionByName(one_way.select(F.col("q").alias("p"), F.col("p").alias("q"), "like")).groupBy("p", "q").agg(F.max("like").alias("like"))
+    met = pairs.join(both.hint("merge"), "p").join(pairs.select("m", F.col("p").alias("q")).hint("merge"), ["m", "q"])
+    return met.groupBy("m", "p").agg(F.array_sort(F.collect_list(F.struct("q", "like"))).alias("near"))
 
 
 def match(members: DataFrame, persons: DataFrame, aliases: DataFrame, speeches: DataFrame) -> DataFrame:
@@ -122,37 +149,39 @@ def match(members: DataFrame, persons: DataFrame, aliases: DataFrame, speeches:
     left = cut(name_forms(open_))
     right = cut(name_forms(spellings(persons, aliases)).join(held, "id", "left_anti"))
     alike = likeness(meeting_forms(left, right)).select("fa", "fb", "like")
-    equal = left.select(F.col("form").alias("fa")).join(right.select(F.col("form").alias("fb")), F.col("fa") == F.col("fb")).distinct().withColumn("like", F.lit(1.0))
-    pairs = alike.unionByName(equal).join(left.withColumnRenamed("form", "fa").withColumnRenamed("id", "m"), "fa").join(right.withColumnRenamed("form", "fb").withColumnRenamed("id", "p"), "fb")
+    # all joins of growing sides are merged by key: none is sent whole to every task
+    equal = left.select(F.col("form").alias("fa")).join(right.select(F.col("form").alias("fb")).hint("merge"), F.col("fa") == F.col("fb")).distinct().withColumn("like", F.lit(1.0))
+    side = lambda d, f, i: d.withColumnRenamed("form", f).withColumnRenamed("id", i).hint("merge")
+    pairs = alike.unionByName(equal).join(side(left, "fa", "m"), "fa").join(side(right, "fb", "p"), "fb")
     pairs = cut(pairs.groupBy("m", "p").agg(F.max("like").alias("like")))
 
     titled = lambda d: d.mapInPandas(_titles, "id long, title string").groupBy("id").agg(F.collect_set("title").alias("titles"))
     mt, pt = titled(open_.select("id", "name")), titled(spellings(persons, aliases).where("id is not null and name is not null").select(F.col("id").cast("long").alias("id"), "name"))
-    spoken = speeches.where("person_id is not null").select(F.col("person_id").cast("long").alias("p"), "id", "party_id", "province").join(pairs.select("p").distinct(), "p").distinct()
+    spoken = speeches.where("person_id is not null").select(F.col("person_id").cast("long").alias("p"), "id", "party_id", "province").join(pairs.select("p").distinct().hint("merge"), "p").distinct()
     usual = lambda c: spoken.where(F.col(c).isNotNull()).groupBy("p", c).agg(F.count("*").alias("n")).groupBy("p").agg(F.max_by(c, F.struct("n", c)).alias(f"p_{c}"))
     known = (
-        pairs.join(open_.select(F.col("id").alias("m"), "party_id", "province"), "m").join(usual("party_id"), "p", "left").join(usual("province"), "p", "left")
-        .join(mt.select(F.col("id").alias("m"), F.col("titles").alias("mt")), "m", "left").join(pt.select(F.col("id").alias("p"), F.col("titles").alias("pt")), "p", "left")
+        pairs.join(open_.select(F.col("id").alias("m"), "party_id", "province").hint("merge"), "m").join(usual("party_id").hint("merge"), "p", "left").join(usual("province").hint("merge"), "p", "left")
+        .join(mt.select(F.col("id").alias("m"), F.col("titles").alias("mt")).hint("merge"), "m", "left").join(pt.select(F.col("id").alias("p"), F.col("titles").alias("pt")).hint("merge"), "p", "left")
     )
     # titles that exclude one another are two people
     known = cut(known.where(~(F.coalesce(F.size("mt"), F.lit(0)) > 0) | ~(F.coalesce(F.size("pt"), F.lit(0)) > 0) | F.arrays_overlap("mt", "pt")).drop("mt", "pt"))
     # persons are numbered below zero so that both sides share one graph
     parts = components(known.select(F.col("m").alias("a"), (-F.col("p") - 1).alias("b")))
-    grouped = known.join(parts.select(F.col("node").alias("m"), "component"), "m").repartition("component").sortWithinPartitions("component")
+    near = _alike_candidates(known.select("m", "p"), right)
+    grouped = known.join(parts.select(F.col("node").alias("m"), "component").hint("merge"), "m").join(near.hint("merge"), ["m", "p"], "left")
+    grouped = grouped.repartition("component").sortWithinPartitions("component", "m", "p")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [f for f in frames if len(f)]
-        if not held:
-            return
-        f = pd.concat(held, ignore_index=True)
-        party = np.where(f["party_id"].isna() | f["p_party_id"].isna(), np.nan, (f["party_id"] == f["p_party_id"]).astype(float))
-        province = np.array([np.nan if s is None else s for s in map(same_place, f["province"], f["p_province"])], float)
-        alike = []
-        for _, g in f.groupby("m"):
-            if 1 < len(g) <= 20:
-                alike += [(a, b, 1 - abs(f.at[a, "like"] - f.at[b, "like"])) for a in g.index for b in g.index if a != b]
-        x = solve(f["m"].to_numpy(), f["p"].to_numpy(), f["like"].to_numpy(), party, province, alike)
-        yield pd.DataFrame({"member_no": f["m"], "person_id": f["p"], "like": f["like"], "x": x})
+        held: list[pd.DataFrame] = []
+        for f in frames:
+            held.append(f)
+            if sum(map(len, held)) >= BATCH and held[0]["component"].iloc[0] != f["component"].iloc[-1]:
+                whole = pd.concat(held, ignore_index=True)
+                begun = whole["component"] == whole["component"].iloc[-1]
+                yield _solved(whole[~begun].reset_index(drop=True))
+                held = [whole[begun]]
+        if held:
+            yield _solved(pd.concat(held, ignore_index=True))
 
     solved = grouped.mapInPandas(run, "member_no long, person_id long, like double, x double")
     chosen = solved.groupBy("member_no").agg(F.max(F.struct("x", "like", (-F.col("person_id")).alias("neg"))).alias("c"))

@@ -2,8 +2,9 @@
 
 Arrow text becomes numpy code-point arrays; a lookup table gathers the replacement of every code point, expansion
 offsets make room for those that become two or three, invisible ones vanish, and marks that sit on one base are
-brought into one order by a single stable sort over the marks of the whole batch.  The form is decomposed: equality
-is what it is for.
+brought into one order by a single stable sort over the marks of the whole batch. Then bases and marks are composed: in
+each round the first mark behind every base is looked up with it in the sorted table of pairs, until none fits. Hangul
+is taken apart and composed by arithmetic.
 
 Cases: a null text stays null; an empty text, or one without any visible character, has the empty form and is in no
 pair; byte-equal texts are no pair; letter case, digit shape, quotation marks and line breaks stay visible.
@@ -32,6 +33,8 @@ LOOKALIKES = {
     "х": "x", "ѕ": "s", "і": "i", "ј": "j", "ԛ": "q", "ԝ": "w", "һ": "h", "ԁ": "d", "ӏ": "l", "ү": "y", "ɡ": "g", "ɑ": "a",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T",
     "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j", "ı": "i", "ⅼ": "l", "ⅰ": "i", "ⅴ": "v", "ⅹ": "x",
+    "Ӏ": "I", "Ԍ": "G", "Ѵ": "V", "ѵ": "v", "Ϲ": "C", "օ": "o", "Օ": "O", "ո": "n", "ս": "u", "հ": "h", "Ս": "U", "Ꭺ": "A", "Ᏼ": "B",
+    "Ꮯ": "C", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
 }
 # Hyphens and dashes of one length, and Thai sequences that are drawn alike.
 SAME_SIGN = {"‐": "-", "‑": "-", "−": "-", "ำ": "ํา", "แ": "เเ", " ": "\n", " ": "\n", "\u0085": "\n"}
@@ -39,7 +42,15 @@ SAME_SIGN = {"‐": "-", "‑": "-", "−": "-", "ำ": "ํา", "แ": "เเ
 MARK_ORDER = {**dict.fromkeys("ฺุู", 103), **dict.fromkeys("ัิีึื็ํ", 104), **dict.fromkeys("่้๊๋", 107), "์": 108, "๎": 108}
 # Format characters that are not drawn (soft hyphen, joiners, direction marks, fillers).
 INVISIBLE = "­͏؜ᅟᅠ឴឵᠋᠌᠍᠎ㅤ﻿ﾠ"
-TOP = 0x20000
+#: The lookup table ends here; beyond it stand tags and variation selectors, which are not drawn, and private characters.
+TOP, TAGS = 0x30000, (0xE0000, 0xE1000)
+#: Hangul: first syllable, first letters of a beginning, a vowel and an end, vowels and ends (with none) a syllable can have.
+SYLLABLE, LEAD, VOWEL, TAIL, VOWELS, TAILS = 0xAC00, 0x1100, 0x1161, 0x11A7, 21, 28
+
+
+def _whole(i: int) -> bool:
+    """Ideographs, syllables and surrogates, which have no table entry of their own."""
+    return 0xD800 <= i < 0xE000 or 0x3400 <= i < 0xA000 or 0xAC00 <= i < 0xD7A4 or 0x20000 <= i < 0x2F800
 
 
 def _parts(ch: str) -> str:
@@ -58,7 +69,7 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     to[:, 0] = np.arange(TOP)
     order = np.zeros(TOP, np.uint8)
     for i in range(TOP):
-        if 0xD800 <= i < 0xE000 or 0x3400 <= i < 0xA000 or 0xAC00 <= i < 0xD7A4:
+        if _whole(i):
             continue
         ch = chr(i)
         kind = unicodedata.category(ch)
@@ -74,12 +85,73 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return size, to, order
 
 
+@lru_cache(maxsize=1)
+def compositions() -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (base << 32 | mark) that are drawn as one character, sorted, and those characters."""
+    pairs = []
+    for i in range(0xC0, TOP):
+        if not _whole(i):
+            kind = unicodedata.decomposition(chr(i))
+            if kind and kind[0] != "<" and " " in kind:
+                base, mark = (int(x, 16) for x in kind.split())
+                if unicodedata.normalize("NFC", chr(base) + chr(mark)) == chr(i):
+                    pairs.append((base << 32 | mark, i))
+    key, to = np.array(sorted(pairs), np.uint64).T
+    return key, to.astype(np.uint32)
+
+
+def compose(out: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Puts bases and their marks together, in rounds over all rows at once."""
+    order = tables()[2]
+    key, to = compositions()
+    while True:
+        marks = np.flatnonzero(np.where(out < TOP, order[np.minimum(out, TOP - 1)], 0))
+        marks = marks[marks > 0]
+        begins = np.zeros(len(out) + 1, bool)
+        begins[offsets] = True
+        marks = marks[~begins[marks]]
+        before = out[marks - 1]
+        first = np.where(before < TOP, order[np.minimum(before, TOP - 1)], 0) == 0
+        marks, before = marks[first], before[first]
+        pair = before.astype(np.uint64) << np.uint64(32) | out[marks].astype(np.uint64)
+        at = np.minimum(np.searchsorted(key, pair), len(key) - 1)
+        hit = key[at] == pair
+        if not hit.any():
+            break
+        out = out.copy()
+        out[marks[hit] - 1] = to[at[hit]]
+        mask = np.ones(len(out), bool)
+        mask[marks[hit]] = False
+        out, offsets = C.keep(out, offsets, mask)
+    vowels = np.flatnonzero((out >= VOWEL) & (out < VOWEL + VOWELS))
+    if len(vowels):
+        begins = np.zeros(len(out) + 1, bool)
+        begins[offsets] = True
+        led = vowels[(vowels > 0) & ~begins[vowels]]
+        led = led[(out[led - 1] >= LEAD) & (out[led - 1] < LEAD + 19)]
+        out = out.copy()
+        out[led - 1] = SYLLABLE + ((out[led - 1] - LEAD) * VOWELS + out[led] - VOWEL) * TAILS
+        ended = led[(led + 1 < len(out)) & ~begins[led + 1]]
+        ended = ended[(out[ended + 1] > TAIL) & (out[ended + 1] < TAIL + TAILS)]
+        out[ended - 1] += out[ended + 1] - TAIL
+        mask = np.ones(len(out), bool)
+        mask[led] = False
+        mask[ended + 1] = False
+        out, offsets = C.keep(out, offsets, mask)
+    return out, offsets
+
+
 def fold(cp: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The common form of every row of a flat code-point array."""
     size, to, order = tables()
     low = np.minimum(cp, TOP - 1)
     n = size[low].astype(np.int64)
     n[cp >= TOP] = 1
+    n[(cp >= TAGS[0]) & (cp < TAGS[1])] = 0
+    hangul = np.flatnonzero((cp >= SYLLABLE) & (cp < SYLLABLE + 19 * VOWELS * TAILS))
+    if len(hangul):
+        place = cp[hangul] - SYLLABLE
+        n[hangul] = 2 + (place % TAILS > 0)
     at = np.zeros(len(cp) + 1, np.int64)
     np.cumsum(n, out=at[1:])
     out = np.zeros(at[-1], np.uint32)
@@ -88,6 +160,11 @@ def fold(cp: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for j in (1, 2, 3):
         more = np.flatnonzero(n > j)
         out[at[more] + j] = to[low[more], j]
+    if len(hangul):
+        out[at[hangul]] = LEAD + place // (VOWELS * TAILS)
+        out[at[hangul] + 1] = VOWEL + place // TAILS % VOWELS
+        ended = place % TAILS > 0
+        out[at[hangul[ended]] + 2] = TAIL + place[ended] % TAILS
     offsets = at[offsets]
     # marks: a stable sort by (base, order) of the positions that hold one
     kind = np.where(out < TOP, order[np.minimum(out, TOP - 1)], 0)
@@ -98,6 +175,9 @@ def fold(cp: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         base = np.cumsum((kind == 0) | row_start[:-1])
         sorted_ = marks[np.lexsort((out[marks], kind[marks], base[marks]))]
         out[marks] = out[sorted_]
+    out, offsets = compose(out, offsets)
+    row_start = np.zeros(len(out) + 1, bool)
+    row_start[offsets] = True
     # one blank for a run; none next to a line break or at the ends
     blank = out == 0x20
     edge = (out == 0x0A) | blank

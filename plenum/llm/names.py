@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from itertools import permutations
 
 # Titles and forms of address that may precede a name.
 TITLES = (
@@ -21,6 +20,8 @@ NICKNAME = re.compile(r"\(([^()]{1,40})\)")
 # Forms of address that anyone may get, and short forms of titles.
 ADDRESS = frozenset("ส.ส. สส. ส.ว. สว. คุณ ท่าน".split())
 SAME_TITLE = {"น.ส.": "นางสาว", "นพ.": "นายแพทย์", "พญ.": "แพทย์หญิง", "ผศ.": "ผู้ช่วยศาสตราจารย์", "รศ.": "รองศาสตราจารย์", "ศ.": "ศาสตราจารย์", "พ.อ.": "พันเอก", "พล.ต.ท.": "พลตำรวจโท"}
+#: Likeness of a part of the longer name that has no partner.
+UNMATCHED = 0.6
 CONSONANTS = "กขฃคฅฆงจฉชซฌญฎฏฐฑฒณดตถทธนบปผฝพฟภมยรลวศษสหฬอฮ"
 # The general system of transcription, first and last sounds.
 FIRST = dict(zip(CONSONANTS, "k kh kh kh kh kh ng j ch ch s ch y d t th th th n d t th th th n b p ph f ph f ph m y r l w s s s h l o h".split()))
@@ -147,7 +148,8 @@ def distance(a: str, b: str, most: int) -> int:
 
 
 def is_initial(token: str) -> bool:
-    return len(token) <= 2 and token.endswith(".")
+    """An initial or an abbreviation: letters and a full stop."""
+    return 1 < len(token) <= 6 and token.endswith(".")
 
 
 def token_likeness(a: str, b: str) -> float:
@@ -155,7 +157,10 @@ def token_likeness(a: str, b: str) -> float:
     if a == b:
         return 1.0
     if is_initial(a) or is_initial(b):
-        return 0.6 if first_letter(a.rstrip(".")) == first_letter(b.rstrip(".")) else 0.0
+        short, long_ = sorted((a.rstrip("."), b.rstrip(".")), key=len)
+        if len(short) <= 1:
+            return 0.6 if first_letter(short) == first_letter(long_) else 0.0
+        return 0.6 if long_.startswith(short) else 0.0
     short, long_ = sorted((a, b), key=len)
     if len(short) >= 4:
         d = distance(a, b, 2)
@@ -170,16 +175,62 @@ def token_likeness(a: str, b: str) -> float:
     return 0.0
 
 
+def assignment(score: list[list[float]]) -> list[tuple[int, int]]:
+    """The pairs (row, column) of a best assignment of a score matrix with no more rows than columns (shortest augmenting paths)."""
+    n, m = len(score), len(score[0])
+    u, v, match = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        match[0], j0 = i, 0
+        least, way, used = [float("inf")] * (m + 1), [0] * (m + 1), [False] * (m + 1)
+        while match[j0]:
+            used[j0] = True
+            row, delta, j1 = match[j0], float("inf"), 0
+            for j in range(1, m + 1):
+                if not used[j]:
+                    slack = -score[row - 1][j - 1] - u[row] - v[j]
+                    if slack < least[j]:
+                        least[j], way[j] = slack, j0
+                    if least[j] < delta:
+                        delta, j1 = least[j], j
+            for j in range(m + 1):
+                if used[j]:
+                    u[match[j]] += delta
+                    v[j] -= delta
+                else:
+                    least[j] -= delta
+            j0 = j1
+        while j0:
+            match[j0] = match[way[j0]]
+            j0 = way[j0]
+    return [(match[j] - 1, j - 1) for j in range(1, m + 1) if match[j]]
+
+
 def align(a: list[str], b: list[str]) -> float:
-    """The likeness of two names by the best assignment of their parts; every part must find a partner."""
-    if len(a) != len(b) or not a or len(a) > 5:
-        return float(a == b) if a else 0.0
-    best = 0.0
-    for p in permutations(b) if len(a) <= 3 else [b]:
-        scores = [token_likeness(x, y) for x, y in zip(a, p)]
-        if min(scores) > 0:
-            best = max(best, sum(scores) / len(scores))
-    return best
+    """The likeness of two names by the best assignment of their parts, whatever their number and order.
+
+    Every part of the shorter name must find a partner; a part of the longer one may be without (a middle name), at the
+    likeness UNMATCHED, if at least two others have theirs.
+    """
+    if not a or not b:
+        return 0.0
+    if a == b:
+        return 1.0
+    short, long_ = sorted((a, b), key=len)
+    if len(short) < len(long_) and len(short) < 2:
+        return 0.0
+    if len(short) == len(long_) == 2:  # both orders, without the machinery
+        best = 0.0
+        for x, y in ((0, 1), (1, 0)):
+            first = token_likeness(a[0], b[x])
+            second = first and token_likeness(a[1], b[y])
+            if second:
+                best = max(best, (first + second) / 2)
+        return best
+    score = [[token_likeness(x, y) for y in long_] for x in short]
+    # a pair that is not alike must cost more than all others together
+    pairs = assignment([[s if s else -float(len(long_)) for s in row] for row in score])
+    got = [score[i][j] for i, j in pairs]
+    return (sum(got) + UNMATCHED * (len(long_) - len(short))) / len(long_) if min(got) > 0 else 0.0
 
 
 def deletes(token: str) -> set[str]:

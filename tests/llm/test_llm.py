@@ -4,7 +4,9 @@ import base64
 import math
 import random
 from collections import Counter
+from itertools import permutations
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -110,6 +112,21 @@ def test_name_parts():
     assert names.latin("เทมเวมชัย") == "themwemchai" and names.latin("ปุลบองวดี") == "punbongwadi"
     assert names.distance("abcd", "abdc", 2) == 1 and names.distance("abc", "xyz", 2) == 3
     assert names.align(["ก", "ข"], ["ข", "ก"]) == 1.0
+    parts = ["หนึ่งเดียว", "สองสหาย", "สามัคคี", "สี่แยกไฟ", "ห้าแยก"]
+    assert names.align(parts, parts[2:] + parts[:2]) == 1.0 and names.align(parts[:2], parts[:3]) > 0.86
+    assert names.align(parts[:2], [parts[0], parts[2]]) == 0.0 and names.align(parts[:1], parts[:2]) == 0.0
+    assert names.align(["สม.", "ใจดีมาก"], ["สมชาย", "ใจดีมาก"]) == 0.8 and names.align(["สม.", "ใจดีมาก"], ["สุชาย", "ใจดีมาก"]) == 0.0
+
+
+def test_assignment():
+    rnd = random.Random(8)
+    for _ in range(60):
+        n = rnd.randint(1, 4)
+        m = rnd.randint(n, 5)
+        score = [[rnd.choice([0.0, 0.6, 0.9, rnd.random()]) for _ in range(m)] for _ in range(n)]
+        best = max(sum(score[i][p[i]] for i in range(n)) for p in permutations(range(m), n))
+        got = names.assignment(score)
+        assert sorted(i for i, _ in got) == list(range(n)) and len({j for _, j in got}) == n and abs(sum(score[i][j] for i, j in got) - best) < 1e-9
 
 
 # --- problem 4
@@ -200,6 +217,21 @@ def test_linkage(spark):
     got = {(r["member_no"], r["person_id"]): r["confidence"] for r in linkage.match(members, people, aliases, sp).collect()}
     assert set(got) == {(1, 1)} and 0.5 <= got[1, 1] <= 1  # an initial with another party is no match
     assert linkage.match(members.where("false"), people, aliases, sp).count() == 0
+    # a third person with no seat: like(j, k) is the likeness of their own names
+    pairs = spark.createDataFrame([(1, 1), (1, 2), (1, 4), (2, 2)], "m long, p long")
+    forms = spark.createDataFrame([(1, "T สมชายศักดิ ใจดีมาก"), (2, "T สมชายศักดิ์ ใจดีมาก"), (4, "T ส. ใจดี")], "id long, form string")
+    near = {(r["m"], r["p"]): [x["q"] for x in r["near"]] for r in linkage._alike_candidates(pairs, forms).collect()}
+    assert near == {(1, 1): [2], (1, 2): [1]}
+
+
+def test_soft_logic():
+    """Exclusivity, transitivity of persons that are alike, and refusal of an unfinished problem."""
+    nan = float("nan")
+    one = linkage.solve(*map(np.array, ([1, 1], [1, 2], [0.92, 0.92], [1.0, nan], [nan, nan])), [])
+    tied = linkage.solve(*map(np.array, ([1, 1], [1, 2], [0.92, 0.92], [1.0, nan], [nan, nan])), [(0, 1, 1.0), (1, 0, 1.0)])
+    assert one[0] > one[1] and one.sum() <= 1.05 and tied[1] >= one[1] - 1e-3
+    many = linkage.solve(np.ones(60), np.arange(60), np.full(60, 0.9), np.full(60, nan), np.full(60, nan), [(i, j, 0.95) for i in range(60) for j in range(60) if i != j])
+    assert many.sum() <= 1.1 and abs(many - many.mean()).max() < 0.05
 
 
 # --- problem 7
@@ -317,6 +349,14 @@ def test_forms():
     assert codepoints.to_arrow(*codepoints.to_codepoints(col), valid=~pa.compute.is_null(col).to_numpy(zero_copy_only=False)).to_pylist() == col.to_pylist()
 
 
+def test_composed_forms():
+    fold = lambda *texts: codepoints.to_arrow(*lookalike.fold(*codepoints.to_codepoints(pa.array(texts, pa.string())))).to_pylist()
+    assert fold("cafe\u0301", "café", "\u0301e", "a\u0323\u0302", "ậ", "a\u0302\u0323") == ["café", "café", "\u0301e", "ậ", "ậ", "ậ"]
+    assert fold("가각", "\u1100\u1161\u1100\u1161\u11a8", "\u1161", "한글", "\u1112\u1161\u11ab그\u11af") == ["가각", "가각", "\u1161", "한글", "한글"]
+    assert fold("葛\U000e0100", "a\U000e0061b", "\U0002f800", "\u4e3d", "p\u0585\u04c0") == ["葛", "ab", "\u4e3d", "\u4e3d", "poI"]
+    assert fold("", "e\u0301", "\u0301") == ["", "é", "\u0301"] and fold() == []
+
+
 @pytest.mark.parametrize("full", [200, 2])
 def test_look_pairs(spark, full):
     rows = [(1, "abc"), (2, "abc"), (3, "a​bc"), (4, "ABC"), (5, None), (6, ""), (7, "​"), (8, "аbc"), (8, "аbc"), (9, "abc!")]
