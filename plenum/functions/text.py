@@ -68,11 +68,25 @@ def decode_breaks(code: Column) -> Column:
 
 
 def contrast_text(color: Column) -> Column:
-    """Black or white text for a #RRGGBB ground, by relative luminance above 0.179."""
+    """Dark or white text for a #RRGGBB ground, by relative luminance above 0.179; null where it is no such colour."""
 
     def channel(at: int) -> Column:
         v = F.conv(F.substring(color, at, 2), 16, 10).cast("double") / 255
-        return F.when(v <= 0.03928, v / 12.92).otherwise(F.pow((v + 0.055) / 1.055, 2.4))
+        return F.when(v <= 0.04045, v / 12.92).otherwise(F.pow((v + 0.055) / 1.055, 2.4))
 
     light = 0.2126 * channel(2) + 0.7152 * channel(4) + 0.0722 * channel(6)
-    return F.when(light > 0.179, "#000000").otherwise("#ffffff")
+    usable = color.rlike("^#[0-9A-Fa-f]{6}$")
+    return F.when(usable & (light > 0.179), "#111111").when(usable, "#ffffff")
+
+
+def minutes(seconds: Column) -> Column:
+    """m:ss, or h:mm:ss from an hour on; null for null."""
+    s = F.floor(seconds).cast("long")
+    short = F.format_string("%d:%02d", F.floor(s / 60), F.pmod(s, F.lit(60)))
+    long_ = F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.pmod(F.floor(s / 60), F.lit(60)), F.pmod(s, F.lit(60)))
+    return F.when(s >= 3600, long_).when(s.isNotNull(), short)
+
+
+def number(value: Column) -> Column:
+    """A count with separators of thousands; 0 for null."""
+    return F.format_number(F.coalesce(value, F.lit(0)), 0)

@@ -39,3 +39,9 @@ def with_defaults(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
         if name not in df.columns:
             df = df.withColumn(name, value)
     return df
+
+
+def undo_fills(rows: DataFrame, value: str, source: str, base: str) -> DataFrame:
+    """Values that came from elsewhere than `base` taken back, so that fills can be derived afresh."""
+    own = F.col(source).eqNullSafe(base)
+    return rows.withColumn(value, F.when(own, F.col(value))).withColumn(source, F.when(own, F.col(source)))

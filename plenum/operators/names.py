@@ -10,13 +10,20 @@ from ..functions import names as N
 
 
 def _parse(raw: pd.Series) -> pd.DataFrame:
-    rows = []
-    for r in raw:
-        c = N.clean_name(r)
-        rows.append((c, N.compact(c), N.display_name(c), N.strip_titles(c), N.has_formal_title(c)) if c else (None, None, None, None, None))
+    read = [N.read(r) for r in raw]
+    rows = [(n.text, n.key, n.display, n.core, n.formal) if n else (None,) * 5 for n in read]
     return pd.DataFrame(rows, columns=["clean", "key", "display", "bare", "formal"])
 
 
+def _bare(raw: pd.Series) -> pd.Series:
+    return raw.map(N.strip_titles, na_action="ignore")
+
+
+def bare_words(name: str) -> Column:
+    """The words of a name without its titles."""
+    return F.split(F.pandas_udf(_bare, "string", F.PandasUDFType.SCALAR)(name), r"(?U)\s+")
+
+
 def parse_name(raw: str) -> Column:
     return F.pandas_udf(_parse, "clean string, key string, display string, bare string, formal boolean", F.PandasUDFType.SCALAR)(raw)
 
@@ -33,3 +40,14 @@ def pick_display(forms: DataFrame, key: str, form: str, n: str) -> DataFrame:
     rated = with_names(totals, form).withColumn("formal", F.coalesce(F.col("name_parts.formal"), F.lit(False)))
     best = rated.groupBy(key).agg(F.min(F.struct((~F.col("formal")).alias("a"), (-F.col("n")).alias("b"), F.length(form).alias("c"), F.col(form).alias("form"))).alias("best"))
     return best.select(key, F.col("best.form").alias("display"))
+
+
+def refresh_display(stored: DataFrame, picked: DataFrame, key: str, name: str = "name") -> DataFrame:
+    """(key, name) of a dimension after new forms: a stored name gives way only to a form with a formal title, where it has none."""
+    rows = stored.join(picked, key, "left")
+    formal = lambda c: F.coalesce(F.pandas_udf(_formal, "boolean", F.PandasUDFType.SCALAR)(c), F.lit(False))
+    return rows.select(key, F.when(F.col(name).isNull() | (~formal(name) & formal("display")), F.coalesce("display", name)).otherwise(F.col(name)).alias(name))
+
+
+def _formal(raw: pd.Series) -> pd.Series:
+    return raw.map(N.has_formal_title, na_action="ignore").astype("boolean")

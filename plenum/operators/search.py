@@ -72,3 +72,29 @@ def highlight(text: Column, found: Column, size: int) -> Column:
     last = lambda acc: F.try_element_at(acc, F.lit(-1))
     step = lambda acc, x: F.when((F.size(acc) > 0) & (x["begin"] <= last(acc)["end"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last(acc)["begin"].alias("begin"), x["end"].alias("end"))))).otherwise(F.concat(acc, F.array(x)))
     return F.aggregate(spans, F.array().cast("array<struct<begin:int,end:int>>"), step)
+
+
+def holds(columns: list[str], query: str) -> Column:
+    """Whether any of the columns holds the query, ignoring case."""
+    found = F.lit(False)
+    for c in columns:
+        found = found | F.coalesce(F.lower(c).contains(query.lower()), F.lit(False))
+    return found
+
+
+def phrase(df: DataFrame, tokens: str, words: list[str]) -> DataFrame:
+    """Rows whose token array holds the words one after another, with `n`, how often."""
+    t = F.col(tokens)
+    rows = df.where(F.forall(F.array(*[F.lit(w) for w in words]), lambda w: F.array_contains(t, w)))
+    starts = F.when(F.size(t) >= len(words), F.sequence(F.lit(1), F.size(t) - len(words) + 1)).otherwise(F.array().cast("array<int>"))
+    same = lambda i: F.slice(t, i, F.lit(len(words))) == F.array(*[F.lit(w) for w in words])
+    return rows.withColumn("n", F.size(F.filter(starts, same))).where("n > 0")
+
+
+def stacked(keys: list[tuple[str, bool]], tie: Column) -> list[Column]:
+    """The order of a table under sort keys (column, ascending), the newest first: empties stand last whatever the direction."""
+    order: list[Column] = []
+    for name, ascending in keys:
+        c = F.col(name)
+        order += [c.isNull() | (c.cast("string") == ""), c.asc() if ascending else c.desc()]
+    return [*order, tie]

@@ -132,3 +132,11 @@ def relative_to_largest(t: DataFrame, value: str, within: list[str] | None = Non
 def share_pivot(m: Model, parties: list[int]) -> DataFrame:
     """One column a party with its share of each day's words (0 where it said nothing); the parties are given."""
     return day_shares(m).groupBy("meeting_date").pivot("party", parties).agg(F.first("share")).na.fill(0.0)
+
+
+def bubbles(m: Model) -> DataFrame:
+    """One bubble a speaker with words: the area follows the words, so the radius their root against the largest."""
+    t = totals(m.speech(), "person_id").select("person_id", "words").where("words > 0")
+    most = t.agg(F.max("words").alias("most")).withColumn("_k", F.lit(1))
+    rows = t.join(m.person().select("person_id", "name"), "person_id").withColumn("_k", F.lit(1)).join(F.broadcast(most), "_k")
+    return rows.select("person_id", "name", "words", F.round(F.sqrt(F.col("words") / F.col("most")), 6).alias("radius"))

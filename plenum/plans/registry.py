@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import clouds, enrich, incremental, mining, names, search, sequence, stats, tokenize
 from ..session import short_list
+from ..sources import meetings
 from .model import SQL, Model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,7 +72,8 @@ _add("agg27_months", lambda m: m.speech().groupBy(F.date_format("meeting_date",
 _RE = "regexp_matches(term, '^[ก-๏A-Za-z][ก-๏A-Za-z0-9 .]*$')"
 _PERSON = f""", pt AS (SELECT person_id, term_id, CAST(SUM(n) AS BIGINT) AS n, CAST(SUM(sp) AS BIGINT) AS sp FROM member_term WHERE person_id IS NOT NULL GROUP BY ALL),
 base AS (SELECT pt.*, term, CASE WHEN COUNT(*) OVER (PARTITION BY person_id) > 300 THEN 2 ELSE 1 END AS least FROM pt JOIN content_term USING (term_id)),
-b AS (SELECT * FROM base WHERE n >= least AND {_RE})"""
+b AS (SELECT * FROM base WHERE n >= least AND {_RE} AND (person_id, term) NOT IN (SELECT person_id, term FROM own_words WHERE term IS NOT NULL))"""
+_SKIP = "term NOT IN (SELECT term FROM skipped WHERE term IS NOT NULL)"
 
 
 def _cloud_sql(rows: str, entity: str, shown: str) -> str:
@@ -93,7 +95,7 @@ _cloud("cld3_person_frequent", lambda m: clouds.person_cloud(m, "frequent"), _PE
 def _party_sql(unit: str, frequent: bool = False) -> str:
     head = f""", {_HOUSE}, h AS (SELECT party_id, term_id, CAST({unit} AS DOUBLE) AS y FROM house),
 o AS (SELECT *, SUM(y) OVER (PARTITION BY party_id) AS own FROM h),
-b AS (SELECT o.*, term FROM o JOIN content_term USING (term_id) WHERE y >= CASE WHEN own > 50000 THEN 5 ELSE 2 END AND {_RE}),
+b AS (SELECT o.*, term FROM o JOIN content_term USING (term_id) WHERE y >= CASE WHEN own > 50000 THEN 5 ELSE 2 END AND {_RE} AND {_SKIP}),
 g AS (SELECT SUM(y) AS grand FROM h), t AS (SELECT term_id, SUM(y) AS total FROM h GROUP BY 1),
 x AS (SELECT b.*, total, grand, 5000 * total / grand AS a, GREATEST(grand - own, 1) AS rest, total - y AS z FROM b JOIN t USING (term_id) CROSS JOIN g)"""
     rows = "SELECT *, y AS w FROM x" if frequent else "SELECT *, (ln((y + a) / (own + 5000 - y - a)) - ln((z + a) / (rest + 5000 - z - a))) / sqrt(1 / (y + a) + 1 / (z + a)) AS w FROM x"
@@ -103,7 +105,7 @@ x AS (SELECT b.*, total, grand, 5000 * total / grand AS a, GREATEST(grand - own,
 _cloud("cld4_party_distinctive", lambda m: clouds.party_cloud(m, "distinctive"), _party_sql("n"))
 _cloud("cld5_party_distinctive_speech", lambda m: clouds.party_cloud(m, "distinctive_speech"), _party_sql("sp"))
 _cloud("cld6_party_frequent", lambda m: clouds.party_cloud(m, "frequent"), _party_sql("n", True))
-_MEETING = f", b AS (SELECT * FROM meeting_term JOIN content_term USING (term_id) WHERE n >= 2 AND {_RE})"
+_MEETING = f", b AS (SELECT * FROM meeting_term JOIN content_term USING (term_id) WHERE n >= 2 AND {_RE} AND {_SKIP})"
 _cloud("cld7_meeting_distinctive", lambda m: clouds.meeting_cloud(m, "distinctive"), _MEETING + _cloud_sql("SELECT *, n * ln(CAST((SELECT COUNT(DISTINCT meeting_id) FROM meeting_term) AS DOUBLE) / f) AS w FROM b JOIN (SELECT term_id, COUNT(*) AS f FROM meeting_term GROUP BY 1) USING (term_id)", "meeting_id", "n"))
 _cloud("cld8_meeting_frequent", lambda m: clouds.meeting_cloud(m, "frequent"), _MEETING + _cloud_sql("SELECT *, CAST(n AS DOUBLE) AS w FROM b", "meeting_id", "n"))
 
@@ -127,11 +129,18 @@ l AS (SELECT person_id, speaker_label, COUNT(*) AS n FROM speech WHERE person_id
 f AS (SELECT *, replace(speaker_label, ' ', '') AS flat FROM l)
 SELECT person_id, trim(speaker_label) AS role, CAST(SUM(n) OVER (PARTITION BY person_id, flat) AS BIGINT) AS n FROM f QUALIFY ROW_NUMBER() OVER (PARTITION BY person_id, flat ORDER BY n DESC, speaker_label) = 1""")
 _add("mea5_person_parties", stats.person_parties, "SELECT person_id, party_id, COUNT(*) AS n, MAX(meeting_date) AS last_day FROM speech WHERE person_id IS NOT NULL AND party_id IS NOT NULL GROUP BY ALL")
-_add("mea7_contrast", lambda m: m.term().select("term_id", F.concat(F.lit("#"), F.lpad(F.lower(F.hex(F.col("term_id") * 7919 % 16777216)), 6, "0")).alias("color")).withColumn("text_color", X.contrast_text(F.col("color"))), """
-c AS (SELECT term_id, '#' || lpad(lower(to_hex(term_id * 7919 % 16777216)), 6, '0') AS color, term_id * 7919 % 16777216 AS v FROM term),
-x AS (SELECT *, (v // 65536) / 255.0 AS r, ((v // 256) % 256) / 255.0 AS g, (v % 256) / 255.0 AS b FROM c),
-y AS (SELECT *, CASE WHEN r <= 0.03928 THEN r / 12.92 ELSE pow((r + 0.055) / 1.055, 2.4) END AS lr, CASE WHEN g <= 0.03928 THEN g / 12.92 ELSE pow((g + 0.055) / 1.055, 2.4) END AS lg, CASE WHEN b <= 0.03928 THEN b / 12.92 ELSE pow((b + 0.055) / 1.055, 2.4) END AS lb FROM x)
-SELECT term_id, color, CASE WHEN 0.2126 * lr + 0.7152 * lg + 0.0722 * lb > 0.179 THEN '#000000' ELSE '#ffffff' END AS text_color FROM y""")
+
+
+def _colour() -> Column:
+    """Colours made from term ids, some of them no colour or missing."""
+    return F.when(F.col("term_id") % 7 == 0, "red").when(F.col("term_id") % 11 != 0, F.concat(F.lit("#"), F.lpad(F.hex(F.col("term_id") * 7919 % 16777216), 6, "0")))
+
+
+_add("mea7_contrast", lambda m: m.term().select("term_id", _colour().alias("color")).withColumn("text_color", X.contrast_text(F.col("color"))), """
+c AS (SELECT term_id, term_id * 7919 % 16777216 AS v, CASE WHEN term_id % 7 = 0 THEN 'red' WHEN term_id % 11 <> 0 THEN '#' || lpad(to_hex(term_id * 7919 % 16777216), 6, '0') END AS color FROM term),
+x AS (SELECT *, [(v // 65536) / 255.0, ((v // 256) % 256) / 255.0, (v % 256) / 255.0] AS p FROM c),
+y AS (SELECT *, list_transform(p, lambda q: CASE WHEN q <= 0.04045 THEN q / 12.92 ELSE pow((q + 0.055) / 1.055, 2.4) END) AS l FROM x)
+SELECT term_id, color, CASE WHEN NOT starts_with(color, '#') OR color IS NULL THEN NULL WHEN 0.2126 * l[1] + 0.7152 * l[2] + 0.0722 * l[3] > 0.179 THEN '#111111' ELSE '#ffffff' END AS text_color FROM y""")
 _add("mea10_calendar", stats.calendar, """
 d AS (SELECT meeting_date, CAST(SUM(word_count) AS BIGINT) AS words FROM speech GROUP BY 1), mo AS (SELECT DISTINCT CAST(date_trunc('month', meeting_date) AS DATE) AS month FROM d),
 s AS (SELECT month, CAST(unnest(generate_series(month, last_day(month), INTERVAL 1 DAY)) AS DATE) AS day FROM mo)
@@ -202,11 +211,31 @@ SELECT speech_id, segments, CAST(length(t) AS INTEGER) AS chars, t = text AS sam
 
 def _overlaps(m: Model) -> DataFrame:
     """How many characters at each speech's start repeat the end of the one before in the meeting."""
-    s = m.speech("text").select("meeting_id", "ordinal", "speech_id", "text")
-    return sequence.trim_overlaps(s, "meeting_id", ["ordinal", "speech_id"]).select("speech_id", "cut")
+    s = m.speech(sequence.text_ends("text").alias("ends"), where=F.trim(F.coalesce("text", F.lit(""))) != "").select("meeting_id", "ordinal", "speech_id", "ends")
+    return sequence.trim_overlaps(s, "meeting_id", ["ordinal", "speech_id"], "ends").select("speech_id", "cut")
 
 
 _add("seq1_overlaps", _overlaps)
+
+
+def _segments(m: Model) -> DataFrame:
+    """The stored segments in the form of meeting files: labelled with the speech's person, in the order of their ids."""
+    parts = m.raw("speech_segments").dropDuplicates(["segment_id", "part"])
+    about = m.speech(F.col("first_start_sec").alias("start")).join(m.person().select("person_id", F.col("name").alias("speaker")), "person_id", "left")
+    about = about.select("speech_id", "meeting_id", "speaker", F.col("party_id").cast("string").alias("party"), "province", "start", F.col("start_clock").alias("clip_start"))
+    rows = parts.join(about, "speech_id")
+    return rows.select("meeting_id", "segment_id", "part", F.concat_ws("-", "segment_id", "part").alias("id"), "start", F.col("start").alias("stop"), "clip_start", "speaker", "party", "province", "text").withColumnRenamed("part", "piece")
+
+
+def _rebuilt(m: Model) -> DataFrame:
+    """Speeches rebuilt from segments by the whole chain: overlap, headings in the text, attribution, runs, assembly."""
+    spoken, _ = sequence.speeches(_segments(m), ["meeting_id"], ["segment_id", "piece"])
+    return spoken.select("meeting_id", "ordinal", "speech_key", "person", "source", "label", "province", "segments", "chars", F.sha2("text", 256).alias("text_hash"))
+
+
+_add("seq3_headings", lambda m: sequence.headings(m.raw("speech_segments").dropDuplicates(["segment_id", "part"]), ["segment_id", "part"], "text", m.raw("person_aliases").select(F.trim(F.regexp_replace("alias", r"(?U)\s+", " ")).alias("name"))))
+_add("seq7_speeches", _rebuilt)
+_add("seq8_lineage", lambda m: sequence.speeches(_segments(m), ["meeting_id"], ["segment_id", "piece"])[1].select("speech_key", "id", "part", F.length("text").alias("chars")))
 _add("seq10_clock", lambda m: m.speech(F.col("first_start_sec").alias("sec")).select("speech_id", X.clock_add(F.col("start_clock"), F.col("sec")).alias("clock")), """
 x AS (SELECT id AS speech_id, ANY_VALUE(start_clock) AS c, CAST(floor(COALESCE(ANY_VALUE(first_start_sec), 0)) AS BIGINT) AS s FROM speeches GROUP BY id),
 y AS (SELECT *, regexp_matches(c, '^([01]?[0-9]|2[0-3]):[0-5]?[0-9]:[0-5]?[0-9]$') AS ok FROM x),
@@ -227,9 +256,11 @@ def _words(m: Model) -> dict[str, int]:
 
 def _thai_words(m: Model) -> DataFrame:
     """Speech texts cut into the words of the term list."""
-    s = m.speech("text").select("speech_id", "text")
+    s = m.raw("speeches").select(F.col("id").alias("speech_id"), "scraped_at", "text")
     t = tokenize.thai_tokens(s, "text", tokenize.Lexicon(_words(m)))
-    return t.select("speech_id", F.explode("tokens").alias("term")).groupBy("speech_id", "term").agg(F.count("*").alias("n"))
+    # each delivery is counted, and one of equal deliveries kept: no text is shuffled to remove repeats
+    per = t.select("speech_id", "scraped_at", F.explode("tokens").alias("term")).groupBy("speech_id", "scraped_at", "term").agg(F.count("*").alias("n"))
+    return per.groupBy("speech_id", "term").agg(F.max("n").alias("n"))
 
 
 _add("tok6_thai_words", _thai_words)
@@ -267,18 +298,41 @@ _add("agg10_token_bag", _token_bag)
 _add("agg20_token_ngrams", _token_ngrams)
 _add("min5_phrases", _phrases)
 _WORD = "โรงเรียน"
-_add("sea1_whole_words", lambda m: search.hits(m.speech("text", "breaks"), _WORD).select("speech_id", F.size("hits").alias("whole"), F.size("places").alias("any")).where("any > 0"))
-_add("sea3_fallback", lambda m: search.search(m.speech("text", "breaks"), "โรงเรีย", "speech_id"))
+_add("sea1_whole_words", lambda m: search.hits(m.speech("text", "breaks", where=F.lower("text").contains(_WORD)), _WORD).select("speech_id", F.size("hits").alias("whole"), F.size("places").alias("any")).where("any > 0"), f"""
+c AS (SELECT speech_id, lower(text) AS t, CASE WHEN length(breaks) > 0 THEN breaks END AS b FROM speech WHERE contains(lower(text), '{_WORD}')),
+h AS (SELECT *, list_filter(range(0, length(t)), lambda i: substr(t, CAST(i + 1 AS BIGINT), {len(_WORD)}) = '{_WORD}') AS places,
+  list_transform(regexp_extract_all(b, '_[0-9]+_|[0-9a-zA-Z]'), lambda x: CASE WHEN x[1] = '_' THEN CAST(replace(x, '_', '') AS BIGINT) ELSE strpos('{X.BASE62}', x) - 1 END) AS gaps FROM c),
+k AS (SELECT *, list_transform(range(1, len(gaps) + 1), lambda j: list_sum(gaps[1:j])) AS ends FROM h)
+SELECT speech_id, CAST(CASE WHEN b IS NULL THEN len(places) ELSE len(list_filter(places, lambda i: list_contains(ends, i) AND list_contains(ends, i + {len(_WORD)}))) END AS INTEGER) AS whole, CAST(len(places) AS INTEGER) AS "any" FROM k""")
+_add("sea3_fallback", lambda m: search.search(m.speech("text", "breaks", where=F.lower("text").contains("โรงเรีย")), "โรงเรีย", "speech_id"))
 _add("sea2_speaker_search", lambda m: m.person().where(F.lower("name").contains("ชัย")).select("person_id"), "SELECT person_id FROM person WHERE contains(lower(name), 'ชัย')")
-_add("sea6_preview", lambda m: m.speech("text").where(F.col("text").contains(_WORD)).select("speech_id", search.preview(F.col("text"), F.locate(_WORD, "text") - 1).alias("preview")), f"SELECT speech_id, substr(text, CAST(CASE WHEN strpos(text, '{_WORD}') - 1 > 200 THEN strpos(text, '{_WORD}') - 200 ELSE 1 END AS BIGINT), 400) AS preview FROM speech WHERE contains(text, '{_WORD}')")
+_add("sea6_preview", lambda m: m.speech(search.preview(F.col("text"), F.locate(_WORD, "text") - 1).alias("preview"), where=F.col("text").contains(_WORD)).select("speech_id", "preview"), f"SELECT speech_id, substr(text, CAST(CASE WHEN strpos(text, '{_WORD}') - 1 > 200 THEN strpos(text, '{_WORD}') - 200 ELSE 1 END AS BIGINT), 400) AS preview FROM speech WHERE contains(text, '{_WORD}')")
 _add("srt8_empties_last", lambda m: m.speech().select("speech_id", search.empties_last(F.col("province")).alias("key")), "SELECT speech_id, CASE WHEN COALESCE(province, '') = '' THEN 2 WHEN province = 'แบบบัญชีรายชื่อ' THEN 1 ELSE 0 END AS key FROM speech")
 _add("srt10_pages", lambda m: search.numbered(m.speech().where("person_id is not null").select("person_id", "speech_id", "meeting_date", "ordinal"), "person_id", [F.desc("meeting_date"), F.col("ordinal"), F.col("speech_id")]).select("person_id", "speech_id", "row", "page"), "SELECT person_id, speech_id, CAST(ROW_NUMBER() OVER w AS INTEGER) AS row, CAST(ceil(ROW_NUMBER() OVER w / 20.0) AS INTEGER) AS page FROM speech WHERE person_id IS NOT NULL WINDOW w AS (PARTITION BY person_id ORDER BY meeting_date DESC, ordinal, speech_id)")
-_add("srt7_thai_order", lambda m: m.person().select("person_id", "name").withColumn("place", F.dense_rank().over(Window.partitionBy(F.length("name")).orderBy(search.thai_order(F.col("name"))))).select("person_id", "place"))
+
+
+def _thai_places(m: Model) -> DataFrame:
+    """Every person's place in the dictionary order of names: ranks inside first letters, and the names of the letters before."""
+    first = F.regexp_extract("name", "^[เแโใไ]?(.)", 1)
+    each = m.person().where("name is not null").select("name").distinct().withColumn("first", first)
+    inside = F.row_number().over(Window.partitionBy("first").orderBy(search.thai_order(F.col("name"))))
+    sizes = each.groupBy("first").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy(search.thai_order(F.col("first"))).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = each.withColumn("inside", inside).join(sizes.withColumn("before", before), "first").select("name", (F.col("before") + F.col("inside")).alias("place"))
+    return m.person().select("person_id", "name").join(placed, "name", "left").select("person_id", "place")
+
+
+_add("srt7_thai_order", _thai_places)
 
 # --- scalar functions ---------------------------------------------------------------------------------------------
 _MONTHS = "[" + ", ".join(f"'{x}'" for x in X.MONTHS) + "]"
 _add("fun_thai_date", lambda m: m.speech().select("speech_id", X.thai_date(F.col("meeting_date")).alias("shown")), f"SELECT speech_id, CAST(day(meeting_date) AS VARCHAR) || ' ' || {_MONTHS}[month(meeting_date)] || ' ' || CAST(year(meeting_date) + 543 AS VARCHAR) AS shown FROM speech")
-_add("fun_squeeze", lambda m: m.raw("person_aliases").select("alias", F.trim(F.regexp_replace("alias", " +", " ")).alias("squeezed")), "SELECT alias, trim(regexp_replace(alias, ' +', ' ', 'g')) AS squeezed FROM person_aliases")
+_BLANKS = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_add("fun_squeeze", lambda m: m.raw("person_aliases").select("alias", X.squeeze(F.col("alias")).alias("squeezed")), f"SELECT alias, trim(regexp_replace(alias, '{_BLANKS}', ' ', 'g'), ' ') AS squeezed FROM person_aliases")
+_add("ext4_formats", lambda m: m.speech(F.col("first_start_sec").alias("sec")).select("speech_id", X.minutes(F.col("sec")).alias("at"), X.number(F.col("word_count")).alias("words")), """
+x AS (SELECT id AS speech_id, CAST(floor(ANY_VALUE(first_start_sec)) AS BIGINT) AS s FROM speeches GROUP BY id)
+SELECT speech_id, CASE WHEN s >= 3600 THEN CAST(s // 3600 AS VARCHAR) || ':' || lpad(CAST((s // 60) % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') WHEN s IS NOT NULL THEN CAST(s // 60 AS VARCHAR) || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') END AS at,
+  format('{:,}', CAST(COALESCE(word_count, 0) AS BIGINT)) AS words FROM x JOIN speech USING (speech_id)""")
 
 # --- endpoints ----------------------------------------------------------------------------------------------------
 
@@ -303,7 +357,7 @@ def _day_words(m: Model) -> DataFrame:
 
 
 ORACLE["api2_day_words"] = "SELECT meeting_id, rank, term, weight FROM (" + ORACLE["cld7_meeting_distinctive"] + ") JOIN (SELECT id AS term_id, MIN(term) AS term FROM terms GROUP BY 1) USING (term_id) WHERE rank <= 5"
-_add("api4_meeting_speeches", lambda m: m.speech("text").join(m.person().select("person_id", "name"), "person_id", "left").select("meeting_id", "ordinal", "speech_id", "name", "party_id", F.length("text").alias("chars")), "SELECT meeting_id, ordinal, speech_id, name, s.party_id, CAST(length(text) AS INTEGER) AS chars FROM speech s LEFT JOIN person USING (person_id)")
+_add("api4_meeting_speeches", lambda m: m.speech(F.length("text").alias("chars")).join(m.person().select("person_id", "name"), "person_id", "left").select("meeting_id", "ordinal", "speech_id", "name", "party_id", "chars"), "SELECT meeting_id, ordinal, speech_id, name, s.party_id, CAST(length(text) AS INTEGER) AS chars FROM speech s LEFT JOIN person USING (person_id)")
 _add("api9_parties", stats.party_overview, _TOTALS.format(k="party_id") + " SELECT k AS party_id, speeches, CAST(words AS BIGINT) AS words, meetings, members, ROUND(words / (SELECT SUM(word_count) FROM speech), 6) AS share FROM t")
 
 
@@ -318,12 +372,107 @@ _add("api10_party_members", _party_members, """
 l AS (SELECT person_id, party_id AS cur FROM speech WHERE person_id IS NOT NULL AND party_id IS NOT NULL QUALIFY ROW_NUMBER() OVER (PARTITION BY person_id ORDER BY meeting_date DESC, ordinal DESC, speech_id DESC) = 1),
 o AS (SELECT party_id, person_id, COUNT(*) AS speeches, CAST(SUM(word_count) AS BIGINT) AS words FROM speech WHERE party_id IS NOT NULL AND person_id IS NOT NULL GROUP BY ALL)
 SELECT party_id, person_id, speeches, words, CASE WHEN cur <> party_id THEN cur END AS current_party FROM o JOIN l USING (person_id)""")
-_add("snk7_json", lambda m: m.speech().select(F.to_json(F.struct("speech_id", "person_id", "province")).alias("value")))
+_add("snk7_json", lambda m: m.speech().select(F.to_json(F.struct("speech_id", "person_id", "province")).alias("value")), """SELECT '{"speech_id":' || speech_id || COALESCE(',"person_id":' || person_id, '') || COALESCE(',"province":"' || province || '"', '') || '}' AS value FROM speech""")
+
+
+def _day_page(m: Model) -> DataFrame:
+    """Every meeting day with the one before and after, its counts, and each speaker's words on it."""
+    said = m.speech().where("person_id is not null").groupBy("meeting_date", "person_id").agg(F.count("*").alias("speeches"), F.sum("word_count").alias("words"))
+    return said.join(stats.neighbours(m), "meeting_date").join(m.person().select("person_id", "name"), "person_id").select("meeting_date", "previous", "following", "person_id", "name", "speeches", "words")
+
+
+_add("api3_day_page", _day_page, """
+n AS (SELECT meeting_date, LAG(meeting_date) OVER (ORDER BY meeting_date) AS previous, LEAD(meeting_date) OVER (ORDER BY meeting_date) AS following FROM (SELECT DISTINCT meeting_date FROM speech)),
+s AS (SELECT meeting_date, person_id, COUNT(*) AS speeches, CAST(SUM(word_count) AS BIGINT) AS words FROM speech WHERE person_id IS NOT NULL GROUP BY ALL)
+SELECT meeting_date, previous, following, person_id, name, speeches, words FROM s JOIN n USING (meeting_date) JOIN person USING (person_id)""")
+
+
+def _answers(m: Model) -> DataFrame:
+    """What a request for a person's speeches gets: unknown persons an error, known ones without speeches an empty list."""
+    asked = m.person().select("person_id").unionByName(m.spark.createDataFrame([(-1,)], "person_id long"))
+    said = m.speech().where("person_id is not null").groupBy("person_id").agg(F.count("*").alias("n"))
+    known = m.person().select("person_id", F.lit(True).alias("known"))
+    status = F.when(F.col("known"), 200).otherwise(404)
+    return asked.join(known, "person_id", "left").join(said, "person_id", "left").select("person_id", status.alias("status"), F.when(F.col("known"), F.coalesce("n", F.lit(0))).alias("speeches"))
+
+
+_add("api14_answers", _answers, """
+a AS (SELECT person_id, TRUE AS known FROM person UNION ALL SELECT -1, FALSE), s AS (SELECT person_id, COUNT(*) AS n FROM speech WHERE person_id IS NOT NULL GROUP BY 1)
+SELECT person_id, CASE WHEN known THEN 200 ELSE 404 END AS status, CASE WHEN known THEN COALESCE(n, 0) END AS speeches FROM a LEFT JOIN s USING (person_id)""")
+
+
+def _listing(m: Model, query: str, day: str, party: int | None) -> DataFrame:
+    """Speeches of a day whose speaker's name or province holds a query, of one party (none: no party), with the counts found and in all."""
+    rows = m.speech().join(m.person().select("person_id", "name"), "person_id", "left")
+    of_party = F.col("party_id").isNull() if party is None else F.col("party_id") == F.lit(party)
+    found = F.coalesce(search.holds(["name", "province"], query) & (F.col("meeting_date") >= F.lit(day).cast("date")) & of_party, F.lit(False))
+    counts = rows.agg(F.count_if(found).alias("found"), F.count("*").alias("total")).withColumn("_k", F.lit(1))
+    return rows.where(found).withColumn("_k", F.lit(1)).join(F.broadcast(counts), "_k").select("speech_id", "found", "total")
+
+
+_LIST = "r AS (SELECT speech_id, meeting_date, s.party_id, COALESCE(contains(lower(name), '{q}'), FALSE) OR COALESCE(contains(lower(s.province), '{q}'), FALSE) AS hit FROM speech s LEFT JOIN person USING (person_id)), f AS (SELECT speech_id FROM r WHERE hit AND meeting_date >= DATE '{d}' AND {p}) SELECT speech_id, (SELECT COUNT(*) FROM f) AS found, (SELECT COUNT(*) FROM r) AS total FROM f"
+_add("sea4_day_filter", lambda m: _listing(m, "ชัย", "2020-01-01", 1), _LIST.format(q="ชัย", d="2020-01-01", p="party_id = 1"))
+_add("sea8_no_party", lambda m: _listing(m, "บ", "2020-01-01", None), _LIST.format(q="บ", d="2020-01-01", p="party_id IS NULL"))
+
+
+def _days_by_share(m: Model) -> DataFrame:
+    """The place of every day in the order of one party's share (0 where it said nothing), the larger first, then the later day."""
+    shares = stats.day_shares(m).where("party = 1").select("meeting_date", "share")
+    rows = m.speech().select("meeting_date").distinct().join(shares, "meeting_date", "left").select("meeting_date", F.coalesce("share", F.lit(0.0)).alias("share"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("share"), F.desc("meeting_date"))))
+
+
+_add("sea9_days_by_share", _days_by_share, _SHARES + " SELECT meeting_date, COALESCE(share, 0) AS share, CAST(ROW_NUMBER() OVER (ORDER BY COALESCE(share, 0) DESC, meeting_date DESC) AS INTEGER) AS place FROM (SELECT DISTINCT meeting_date FROM speech) LEFT JOIN (SELECT meeting_date, share FROM f WHERE party = 1) USING (meeting_date)")
+
+
+def _token_index(m: Model) -> DataFrame:
+    """The token index of the documents: (doc_id, position, term) of the Latin words, for phrase search."""
+    return m.raw("documents").select("doc_id", F.posexplode(tokenize.latin_tokens(F.col("text"))).alias("position", "term"))
+
+
+_TOKENS = "d AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9]*(?:[-''][A-Za-z0-9]+)*'), lambda x: lower(x)), lambda x: length(x) >= 2) AS t FROM documents)"
+_add("snk5_token_index", _token_index, _TOKENS + " SELECT doc_id, CAST(i AS INTEGER) AS position, t[i + 1] AS term FROM d, unnest(range(0, len(t))) AS u(i)")
+_add("sea10_phrase", lambda m: search.phrase(m.raw("documents").select("doc_id", tokenize.latin_tokens(F.col("text")).alias("tokens")), "tokens", ["the", "budget"]).select("doc_id", "n"), _TOKENS + " SELECT doc_id, CAST(len(list_filter(range(1, len(t)), lambda i: t[i] = 'the' AND t[i + 1] = 'budget')) AS INTEGER) AS n FROM d WHERE len(list_filter(range(1, len(t)), lambda i: t[i] = 'the' AND t[i + 1] = 'budget')) > 0")
+
+
+def _sorted_table(m: Model) -> DataFrame:
+    """Rows of a table under a stacked sort: the newest key first, the ones chosen before as tie-breaks, empties last."""
+    rows = _home(m).select("person_id", "province", "words", "name")
+    order = search.stacked([("words", False), ("province", True)], F.col("person_id"))
+    return rows.select("person_id", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)).alias("place"))
+
+
+_add("srt9_stacked", _sorted_table, """
+t AS (SELECT person_id, CAST(SUM(word_count) AS BIGINT) AS words FROM speech WHERE person_id IS NOT NULL GROUP BY 1),
+c AS (SELECT person_id, province, COUNT(*) AS n FROM speech WHERE person_id IS NOT NULL AND province IS NOT NULL GROUP BY 1, 2),
+v AS (SELECT person_id, province FROM c QUALIFY ROW_NUMBER() OVER (PARTITION BY person_id ORDER BY n DESC, province) = 1)
+SELECT person_id, CAST(ROW_NUMBER() OVER (ORDER BY words IS NULL, words DESC, province IS NULL OR province = '', province, person_id) AS INTEGER) AS place FROM person JOIN t USING (person_id) LEFT JOIN v USING (person_id)""")
+
+
+def _display_refresh(m: Model) -> DataFrame:
+    """Display names after aliases came in: the stored name stays unless it has no formal title and an alias has one."""
+    picked = names.pick_display(m.raw("person_aliases").select("person_id", "alias").withColumn("n", F.lit(1)), "person_id", "alias", "n")
+    return names.refresh_display(m.person().select("person_id", "name"), picked, "person_id")
+
+
+_add("dml5_display", _display_refresh)
+
+
+def _refilled(m: Model) -> DataFrame:
+    """Party fills undone and derived again: only parties that the site gave are the base."""
+    return incremental.undo_fills(m.speech(), "party_id", "party_source", "site").select("speech_id", "party_id", "party_source")
+
+
+_add("dml6_undo_fills", _refilled, "x AS (SELECT id, ANY_VALUE(party_source) AS src FROM speeches GROUP BY id) SELECT speech_id, CASE WHEN src = 'site' THEN party_id END AS party_id, CASE WHEN src = 'site' THEN src END AS party_source FROM speech JOIN x ON x.id = speech_id")
+_add("fil14_urls", lambda m: m.speech().select("speech_id", F.concat_ws("/", F.lit(""), F.lit("meeting"), F.col("meeting_date").cast("string"), F.col("ordinal").cast("string")).alias("url")), "SELECT speech_id, '/meeting/' || CAST(meeting_date AS VARCHAR) || '/' || CAST(ordinal AS VARCHAR) AS url FROM speech")
+_add("mea8_bubbles", stats.bubbles, """
+t AS (SELECT person_id, CAST(SUM(word_count) AS BIGINT) AS words FROM speech WHERE person_id IS NOT NULL GROUP BY 1)
+SELECT person_id, name, words, ROUND(sqrt(words / (SELECT MAX(words) FROM t)), 6) AS radius FROM t JOIN person USING (person_id) WHERE words > 0""")
+_add("src5_tiles", lambda m: meetings.tiles(m.spark, "2026-01-01", "2026-02-10"), "SELECT CAST(b AS DATE) AS begin, LEAST(CAST(b + INTERVAL 6 DAY AS DATE), DATE '2026-02-10') AS finish FROM unnest(generate_series(DATE '2026-01-01', DATE '2026-02-10', INTERVAL 7 DAY)) AS u(b)")
 
 
 # --- further views ------------------------------------------------------------------------------------------------
 _add("win5_relative", lambda m: stats.relative_to_largest(stats.day_shares(m).select("meeting_date", "party", "words"), "words", ["meeting_date"]), _SHARES + " SELECT meeting_date, party, words, ROUND(words / MAX(words) OVER (PARTITION BY meeting_date), 6) AS relative FROM f")
-_add("agg25_share_pivot", lambda m: stats.share_pivot(m, [1, 2, 3]).select("meeting_date", F.col("1").alias("party_1"), F.col("2").alias("party_2"), F.col("3").alias("party_3")), _SHARES + " SELECT meeting_date, " + ", ".join(f"COALESCE(MAX(share) FILTER (party = {p}), 0) AS party_{p}" for p in (1, 2, 3)) + " FROM f GROUP BY 1")
 
 
 def _all_shares(m: Model) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import squeeze, strip_markup
+
 MEETING = """phase string, meeting_id string, meeting_group string, meeting_year string, meeting_number string, meeting_date string,
 meeting_title string, meeting_council string, meeting_type string, meeting_episode string, meeting_room string, volume string, scraped_at string,
 clips array<struct<seq int, url string, start_time string, end_time string, video_path string, tags array<string>,
@@ -13,6 +15,8 @@ clips array<struct<seq int, url string, start_time string, end_time string, vide
 ROSTER = """source string, fetched_at string, members array<struct<member_no int, name string, party string, constituency string,
 party_list boolean, province string, district int>>"""
 COLOURS = "parties map<string, struct<name_en string, color string, logo string, logo_source string, verified boolean>>"
+# Fixed value: what a roster writes for a seat from the party list.
+PARTY_LIST = "แบบบัญชีรายชื่อ"
 #: A roster with fewer rows is taken for a broken page.
 LEAST_MEMBERS = 400
 
@@ -27,6 +31,12 @@ def meetings(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("meeting_date", F.col("meeting_date").try_cast("date"))
 
 
+def failures(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text) of the meeting files that meetings() leaves out: broken ones, and those without an id."""
+    df = spark.read.schema(MEETING + ", _corrupt string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    return df.select("*", F.col("_metadata.file_path").alias("file")).where("_corrupt is not null or meeting_id is null").select("file", F.col("_corrupt").alias("text"))
+
+
 def clips(meeting: DataFrame) -> DataFrame:
     rows = meeting.select("phase", "meeting_id", F.explode("clips").alias("c"))
     return rows.select("phase", "meeting_id", "c.seq", "c.url", "c.start_time", "c.end_time", "c.video_path", F.coalesce("c.tags", F.array().cast("array<string>")).alias("tags"))
@@ -38,6 +48,13 @@ def segments(meeting: DataFrame) -> DataFrame:
     return rows.select("phase", "meeting_id", "seq", "start_time", "pos", "s.*")
 
 
+def for_speeches(meeting: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(segments, listed): the input of sequence.speeches from meeting files, and the speakers that clips only list."""
+    rows = segments(meeting).select("phase", "meeting_id", "seq", "pos", "id", "start", "stop", F.col("start_time").alias("clip_start"), "speaker", F.col("speaker_party").alias("party"), F.col("speaker_province").alias("province"), "text")
+    listed = meeting.select(F.explode("clips").alias("c")).select(F.explode("c.all_speakers").alias("s")).select(F.col("s.name").alias("speaker"))
+    return rows, listed
+
+
 def roster(spark: SparkSession, path: str, least: int = LEAST_MEMBERS) -> DataFrame:
     rows = spark.read.schema(ROSTER).option("multiLine", True).json(path).select(F.explode("members").alias("m")).select("m.*")
     n = rows.count()
@@ -47,17 +64,26 @@ def roster(spark: SparkSession, path: str, least: int = LEAST_MEMBERS) -> DataFr
 
 
 def roster_page(spark: SparkSession, path: str) -> DataFrame:
-    """Roster items of an HTML page: number, name, party, seat; items without number or name are left out."""
+    """Roster items of an HTML page: number, name, party, seat, province, district; items without number or name are left out.
+
+    Party and seat are told by how their lines begin, wherever they stand; a seat from the list has the list as province.
+    """
     item = F.explode(F.regexp_extract_all("value", F.lit(r'(?s)<li class="tb_[^"]*".*?</li>'), F.lit(0)))
     rows = spark.read.text(path, wholetext=True).select(item.alias("li"))
-    heads = F.transform(F.regexp_extract_all("li", F.lit(r"(?s)<h4>(.*?)</h4>"), F.lit(1)), lambda x: F.trim(F.regexp_replace(x, r"(?s)<[^>]*>|\s+", " ")))
+    heads = F.transform(F.regexp_extract_all("li", F.lit(r"(?s)<h4>(.*?)</h4>"), F.lit(1)), lambda x: squeeze(strip_markup(x)))
+    begins = lambda word: F.coalesce(F.get(F.filter(heads, lambda x: x.startswith(word)), F.lit(0)), F.lit(""))
+    text = lambda c: F.nullif(F.trim(c), F.lit(""))
     out = rows.select(
-        F.regexp_extract("li", r"(?:เลขที่|No\.?)\D*(\d+)", 1).try_cast("int").alias("member_no"),
-        F.trim(F.regexp_replace(F.regexp_extract("li", r'(?s)<h4 style="margin-top:8px;">(.*?)</h4>', 1), r"(?U)\s+", " ")).alias("name"),
-        F.get(heads, F.lit(0)).alias("party"), F.get(heads, F.lit(1)).alias("seat"),
+        F.regexp_extract("li", r"เลขประจำตัวสมาชิก\s*:\s*(\d+)", 1).try_cast("int").alias("member_no"),
+        squeeze(strip_markup(F.regexp_extract("li", r'(?s)<h4 style="margin-top:8px;">(.*?)</h4>', 1))).alias("name"),
+        text(F.regexp_replace(begins("พรรค"), "^พรรค", "")).alias("party"), begins("สมาชิกสภาผู้แทนราษฎร").alias("seat"),
+    )
+    seat = r"สมาชิกสภาผู้แทนราษฎร\s*(?:จังหวัด)?\s*(\S+?)\s*เขตเลือกตั้งที่\s*(\d+)"
+    listed = F.col("seat").contains(PARTY_LIST)
+    return out.where("member_no is not null and name <> ''").select(
+        "*", listed.alias("party_list"), F.when(listed, PARTY_LIST).otherwise(text(F.regexp_extract("seat", seat, 1))).alias("province"),
+        F.when(~listed, F.regexp_extract("seat", seat, 2).try_cast("int")).alias("district"),
     )
-    seat = r"^(.*?)\s*(?:เขต|เขตเลือกตั้งที่)\s*(\d+)"
-    return out.where("member_no is not null and name <> ''").select("*", F.nullif(F.regexp_extract("seat", seat, 1), F.lit("")).alias("province"), F.regexp_extract("seat", seat, 2).try_cast("int").alias("district"))
 
 
 def party_colours(spark: SparkSession, path: str) -> DataFrame:

@@ -29,4 +29,4 @@ def test_text_helpers(spark):
         X.thai_date(F.col("d")).alias("d"), X.strip_markup(F.col("h")).alias("h"), X.clock_add(F.col("c"), F.lit(20.5)).alias("c"), X.clock_add(F.col("bad"), F.lit(1.0)).alias("bad"),
         X.percent(F.lit(0.0004)).alias("p"), X.contrast_text(F.lit("#ffff00")).alias("k"),
     ).first()
-    assert (r.d, r.h, r.c, r.bad, r.p, r.k) == ("15 มี.ค. 2569", "a\nb & c", "00:00:10", "later", "<0.1%", "#000000")
+    assert (r.d, r.h, r.c, r.bad, r.p, r.k) == ("15 มี.ค. 2569", "a\nb & c", "00:00:10", "later", "<0.1%", "#111111")

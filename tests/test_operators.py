@@ -150,3 +150,74 @@ def test_intro_and_mining(spark):
 def test_pick_display(spark):
     f = spark.createDataFrame([(1, "นายก ข", 9), (1, "รศ. ก ข", 1), (1, "พันเอกกกก ขขข", 2), (2, "นางง จจ", 2), (2, "งง จจ", 2)], "k int, f string, n int")
     assert {tuple(r) for r in names_op.pick_display(f, "k", "f", "n").collect()} == {(1, "พันเอกกกก ขขข"), (2, "งง จจ")}
+
+
+def _tables(spark, folder, **frames):
+    for name, (rows, kind) in frames.items():
+        spark.createDataFrame(rows, kind).write.parquet(f"{folder}/{name}.parquet")
+
+
+def test_clouds_leave_names_out(spark, tmp_path):
+    """A person's own name, and for parties and meetings everyone's names, places and party names, are in no cloud."""
+    from plenum.operators import clouds
+    from plenum.plans.model import Model
+
+    words = ["สมชาย", "ใจดี", "ตาก", "พรรคหนึ่ง", "ถนน", "สมหญิง"]
+    people = [(1, "นายสมชาย ใจดี", "k", False, True), (2, "นางสมหญิง งาม", "l", False, True), (3, None, None, False, False)]
+    _tables(
+        spark, tmp_path,
+        persons=(people, "id long, name string, name_key string, is_presiding boolean, is_mp boolean"),
+        terms=([(i, w, False) for i, w in enumerate(words)], "id long, term string, is_stopword boolean"),
+        member_terms=([(p, p, t, 9 if (p == 1) == (t != 5) else 3, 2) for p in (1, 2) for t in range(6)], "party_id long, person_id long, term_id long, count long, speeches long"),
+        meeting_terms=([(m, t, 5) for m in (1, 2) for t in range(6) if m == 1 or t < 2], "meeting_id long, term_id long, count long"),
+        speeches=([(1, "ตาก"), (2, None)], "id long, province string"),
+    )
+    m = Model(spark, str(tmp_path))
+    parties = spark.createDataFrame([("หนึ่ง",)], "party string")
+    seen = lambda df, e: {(r[e], words[r["term_id"]]) for r in df.collect()}
+    person = seen(clouds.person_cloud(m, "frequent"), "person_id")
+    assert {w for p, w in person if p == 1} == {"ตาก", "พรรคหนึ่ง", "ถนน", "สมหญิง"} and {w for p, w in person if p == 2} == set(words) - {"สมหญิง"}
+    assert {w for _, w in seen(clouds.party_cloud(m, "frequent", parties), "party_id")} == {"ถนน"}
+    assert {w for _, w in seen(clouds.party_cloud(m, "frequent"), "party_id")} == {"ถนน", "พรรคหนึ่ง"}
+    assert {w for _, w in seen(clouds.meeting_cloud(m, "frequent", parties), "meeting_id")} == {"ถนน"}
+    assert {w for _, w in seen(clouds.meeting_cloud(m, "distinctive"), "meeting_id")} == {"ถนน", "พรรคหนึ่ง"}
+
+
+def test_roster_page(spark, tmp_path):
+    from plenum.sources import meetings
+
+    item = '<li class="tb_{0}"><p>เลขประจำตัวสมาชิก : {0}</p><h4 style="margin-top:8px;">นาย&nbsp;ก  ข</h4>{1}</li>'
+    page = item.format(7, "<h4>พรรคหนึ่ง</h4><h4>สมาชิกสภาผู้แทนราษฎร จังหวัดตาก เขตเลือกตั้งที่ 2</h4>") + item.format(8, "<h4>สมาชิกสภาผู้แทนราษฎร แบบบัญชีรายชื่อ</h4><h4>อื่น</h4>") + '<li class="tb_x"><h4>ไม่มีเลข</h4></li>'
+    (tmp_path / "page.html").write_text(page)
+    got = sorted(tuple(r) for r in meetings.roster_page(spark, str(tmp_path / "page.html")).drop("seat").collect())
+    assert got == [(7, "นาย ก ข", "หนึ่ง", False, "ตาก", 2), (8, "นาย ก ข", None, True, "แบบบัญชีรายชื่อ", None)]
+
+
+def test_broken_files_are_listed(spark, tmp_path):
+    from plenum.sources import meetings
+
+    (tmp_path / "a.json").write_text('{"phase": "1", "meeting_id": "2", "meeting_date": "2026-01-01", "clips": []}')
+    (tmp_path / "b.json").write_text('{"phase": ')
+    assert meetings.meetings(spark, str(tmp_path)).count() == 1
+    assert [r["file"].rsplit("/", 1)[1] for r in meetings.failures(spark, str(tmp_path)).collect()] == ["b.json"]
+
+
+def test_unknown_clusters_and_latin_entries():
+    """An unknown cluster stands only where no word begins; Latin entries of several words are read with or without blanks."""
+    assert tokenize.Lexicon({}, extras=["ก"]).segment("กั้น") == ["ก", "ั้น"]
+    lex = tokenize.Lexicon({"ผม": 900, "ครม": 60}, abbreviations=["ครม."], manual=["แลนด์"], latin=["Thai PBS", "GDP"])
+    assert lex.tokens("ผม Thai  PBS thaipbs GDP Thai PBS2") == ["ผม", "thai pbs", "thai pbs", "gdp", "thai", "pbs2"]
+    assert lex.segment("ครม.แลนด์ผม") == ["ครม.", "แลนด์", "ผม"] and lex.breaks("Thai PBS ครม.") == [0, 4, 5, 8, 9, 12, 13]
+    assert not any(map(tokenize.is_word, ["ก", "ะกข", "กเ", "abc", "ก" * 26])) and tokenize.is_word("ณ") and tokenize.is_word("ก.ล.ต.")
+
+
+def test_prune_and_listing_helpers(spark):
+    from plenum.operators import mining, names, search
+
+    mined = spark.createDataFrame([("กขค", "a", 100), ("กข", "a", 102), ("ขค", "a", 200), ("กขคง", "b", 97), ("ค", "c", 96)], "word string, tier string, n long")
+    assert mining.prune(mined) == [("กขคง", "b", 97), ("กข", "a", 102), ("ขค", "a", 200)]
+    t = spark.createDataFrame([(1, ["a", "b", "a", "b"]), (2, ["b", "a"]), (3, None), (4, [])], "id int, t array<string>")
+    assert [(r["id"], r["n"]) for r in search.phrase(t, "t", ["a", "b"]).collect()] == [(1, 2)]
+    stored = spark.createDataFrame([(1, "นายก ขค"), (2, "พันเอกก ขค"), (3, None)], "id int, name string")
+    picked = spark.createDataFrame([(1, "พันเอกก ขค"), (2, "พลเอกก ขค"), (3, "ก")], "id int, display string")
+    assert sorted(tuple(r) for r in names.refresh_display(stored, picked, "id").collect()) == [(1, "พันเอกก ขค"), (2, "พันเอกก ขค"), (3, "ก")]
