@@ -76,3 +76,8 @@ def usual_party(m: Model) -> DataFrame:
 def fill_colours(parties: DataFrame, colours: DataFrame) -> DataFrame:
     """Parties with their colours; null where the list has none."""
     return parties.join(colours, "party", "left")
+
+
+def uncoloured(parties: DataFrame) -> DataFrame:
+    """The parties that still have no colour, to be reported."""
+    return parties.where("color is null").select("party")

@@ -365,13 +365,16 @@ def _party_members(m: Model) -> DataFrame:
     """Members of each party with their counts in it, and their current party where it is another."""
     own = m.speech().where("party_id is not null and person_id is not null").groupBy("party_id", "person_id").agg(F.count("*").alias("speeches"), F.sum("word_count").alias("words"))
     now = stats.latest_party(m).select("person_id", F.col("party_id").alias("now"))
-    return own.join(now, "person_id").select("party_id", "person_id", "speeches", "words", F.when(F.col("now") != F.col("party_id"), F.col("now")).alias("current_party"))
+    home = stats.modal(m, "person_id", "province").select("person_id", "province")
+    return own.join(now, "person_id").join(home, "person_id", "left").select("party_id", "person_id", "province", "speeches", "words", F.when(F.col("now") != F.col("party_id"), F.col("now")).alias("current_party"))
 
 
 _add("api10_party_members", _party_members, """
 l AS (SELECT person_id, party_id AS cur FROM speech WHERE person_id IS NOT NULL AND party_id IS NOT NULL QUALIFY ROW_NUMBER() OVER (PARTITION BY person_id ORDER BY meeting_date DESC, ordinal DESC, speech_id DESC) = 1),
-o AS (SELECT party_id, person_id, COUNT(*) AS speeches, CAST(SUM(word_count) AS BIGINT) AS words FROM speech WHERE party_id IS NOT NULL AND person_id IS NOT NULL GROUP BY ALL)
-SELECT party_id, person_id, speeches, words, CASE WHEN cur <> party_id THEN cur END AS current_party FROM o JOIN l USING (person_id)""")
+o AS (SELECT party_id, person_id, COUNT(*) AS speeches, CAST(SUM(word_count) AS BIGINT) AS words FROM speech WHERE party_id IS NOT NULL AND person_id IS NOT NULL GROUP BY ALL),
+c AS (SELECT person_id, province, COUNT(*) AS n FROM speech WHERE person_id IS NOT NULL AND province IS NOT NULL GROUP BY 1, 2),
+v AS (SELECT person_id, province FROM c QUALIFY ROW_NUMBER() OVER (PARTITION BY person_id ORDER BY n DESC, province) = 1)
+SELECT party_id, person_id, province, speeches, words, CASE WHEN cur <> party_id THEN cur END AS current_party FROM o JOIN l USING (person_id) LEFT JOIN v USING (person_id)""")
 _add("snk7_json", lambda m: m.speech().select(F.to_json(F.struct("speech_id", "person_id", "province")).alias("value")), """SELECT '{"speech_id":' || speech_id || COALESCE(',"person_id":' || person_id, '') || COALESCE(',"province":"' || province || '"', '') || '}' AS value FROM speech""")
 
 
@@ -495,16 +498,21 @@ def _person_page(m: Model) -> DataFrame:
     """Every person's counts, first and last day, most frequent province and number of parties."""
     t = stats.totals(m.speech(), "person_id").select("person_id", "speeches", "words", "meetings", "first_day", "last_day")
     parties = stats.person_parties(m).groupBy("person_id").agg(F.count("*").alias("parties"))
-    return t.join(stats.modal(m, "person_id", "province").select("person_id", "province"), "person_id", "left").join(parties, "person_id", "left").select(*t.columns, "province", F.coalesce("parties", F.lit(0)).alias("parties"))
+    kinds = ["speeches", "words", "meetings"]
+    ranks = stats.person_ranks(m).groupBy("person_id").pivot("stat", kinds).agg(F.first("rank")).select("person_id", *[F.col(k).alias(f"rank_{k}") for k in kinds])
+    roles = stats.roles(m).groupBy("person_id").agg(F.array_join(F.array_sort(F.collect_list("role")), "; ").alias("roles"))
+    page = t.join(stats.modal(m, "person_id", "province").select("person_id", "province"), "person_id", "left").join(parties, "person_id", "left").join(ranks, "person_id", "left").join(roles, "person_id", "left")
+    return page.select(*t.columns, "province", F.coalesce("parties", F.lit(0)).alias("parties"), *[f"rank_{k}" for k in kinds], "roles")
 
 
 _add("api6_person", _person_page, """
 t AS (SELECT person_id, COUNT(*) AS speeches, CAST(SUM(word_count) AS BIGINT) AS words, COUNT(DISTINCT meeting_id) AS meetings, MIN(meeting_date) AS first_day, MAX(meeting_date) AS last_day, COUNT(DISTINCT party_id) AS parties FROM speech WHERE person_id IS NOT NULL GROUP BY 1),
 c AS (SELECT person_id, province, COUNT(*) AS n FROM speech WHERE person_id IS NOT NULL AND province IS NOT NULL GROUP BY 1, 2),
 v AS (SELECT person_id, province FROM c QUALIFY ROW_NUMBER() OVER (PARTITION BY person_id ORDER BY n DESC, province) = 1)
-SELECT person_id, speeches, words, meetings, first_day, last_day, province, parties FROM t LEFT JOIN v USING (person_id)""")
+SELECT person_id, speeches, words, meetings, first_day, last_day, province, parties, RANK() OVER (ORDER BY speeches DESC) AS rank_speeches, RANK() OVER (ORDER BY words DESC) AS rank_words, RANK() OVER (ORDER BY meetings DESC) AS rank_meetings, roles
+FROM t LEFT JOIN v USING (person_id) LEFT JOIN (SELECT person_id, string_agg(role, '; ' ORDER BY role) AS roles FROM (""" + ORACLE["mea4_roles"] + """) GROUP BY 1) USING (person_id)""")
 _add("api13_speech_view", lambda m: m.speech().join(m.person().select("person_id", "name"), "person_id", "left").select("speech_id", "meeting_id", "meeting_date", "ordinal", "name", "party_id", "province", "word_count"), "SELECT speech_id, meeting_id, meeting_date, ordinal, name, party_id, province, word_count FROM speech LEFT JOIN person USING (person_id)")
-_add("api8_party_speeches", lambda m: search.numbered(m.speech().where("party_id is not null").select("party_id", "speech_id", "meeting_date", "ordinal"), "party_id", [F.desc("meeting_date"), F.col("ordinal"), F.col("speech_id")]).select("party_id", "speech_id", "row"), "SELECT party_id, speech_id, CAST(ROW_NUMBER() OVER (PARTITION BY party_id ORDER BY meeting_date DESC, ordinal, speech_id) AS INTEGER) AS row FROM speech WHERE party_id IS NOT NULL")
+_add("api8_party_speeches", lambda m: search.numbered(m.speech().where("party_id is not null").select("party_id", "person_id", "speech_id", "meeting_date", "ordinal"), "party_id", [F.desc("meeting_date"), F.col("ordinal"), F.col("speech_id")]).join(m.person().select("person_id", "name"), "person_id", "left").select("party_id", "speech_id", "name", "row"), "SELECT s.party_id, speech_id, name, CAST(ROW_NUMBER() OVER (PARTITION BY s.party_id ORDER BY meeting_date DESC, ordinal, speech_id) AS INTEGER) AS row FROM speech s LEFT JOIN person USING (person_id) WHERE s.party_id IS NOT NULL")
 _add("seq5_event_runs", lambda m: sequence.runs(m.raw("events").select("user_id", "ts", "event_id", "event_type", "value"), "user_id", ["ts", "event_id"], "event_type").groupBy("user_id", "run").agg(F.min("event_type").alias("event_type"), F.count("*").alias("n")).select("user_id", F.col("run").cast("long").alias("run"), "event_type", "n"), """
 a AS (SELECT *, CASE WHEN event_type IS NULL OR ROW_NUMBER() OVER w = 1 OR event_type IS DISTINCT FROM LAG(event_type) OVER w THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 b AS (SELECT *, SUM(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM a)

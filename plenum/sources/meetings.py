@@ -31,6 +31,36 @@ def meetings(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("meeting_date", F.col("meeting_date").try_cast("date"))
 
 
+def records(playlist: DataFrame, docs: DataFrame, base: str) -> DataFrame:
+    """Meeting records from search results: playlist (phase, meeting_id, header fields..., order) and docs (phase, meeting_id,
+    seq, order, _id, start, stop, text, speaker[], speaker_party[], speaker_province[], start_time, end_time, video_path,
+    tag[], all_speaker[], all_speaker_party[], all_speaker_province[]).
+
+    The header is that of the first playlist entry, a clip's fields those of its first document; of each list of speakers
+    the first counts; parallel lists end with the shortest. A meeting is one record by nature.
+    """
+    keys = ["phase", "meeting_id"]
+    header = [c for c in playlist.columns if c not in (*keys, "order")]
+    heads = playlist.groupBy(*keys).agg(F.min_by(F.struct(*header), "order").alias("h")).select(*keys, "h.*")
+    lists = ["all_speaker", "all_speaker_party", "all_speaker_province"]
+    shortest = lambda d: F.least(*[F.coalesce(F.size(d[c]), F.lit(0)) for c in lists])
+    cut = lambda d, c: F.slice(F.coalesce(d[c], F.array().cast("array<string>")), F.lit(1), F.greatest(shortest(d), F.lit(0)))
+    spoken = F.struct(
+        F.col("_id").alias("id"), "start", "stop", F.get("speaker", F.lit(0)).alias("speaker"), F.get("speaker_party", F.lit(0)).alias("speaker_party"), F.get("speaker_province", F.lit(0)).alias("speaker_province"),
+        strip_markup(F.coalesce("text", F.lit(""))).alias("text"), F.col("text").alias("text_raw"),
+    )
+    first = F.struct("start_time", "end_time", "video_path", "tag", *lists)
+    per_clip = docs.groupBy(*keys, "seq").agg(F.array_sort(F.collect_list(F.struct("order", spoken.alias("s")))).alias("s"), F.min_by(first, "order").alias("f"))
+    f = F.col("f")
+    people = F.transform(F.arrays_zip(cut(f, lists[0]).alias("a"), cut(f, lists[1]).alias("b"), cut(f, lists[2]).alias("c")), lambda x: F.struct(x["a"].alias("name"), x["b"].alias("party"), x["c"].alias("province")))
+    clip = F.struct(
+        "seq", F.concat_ws("/", F.lit(base), F.lit("video"), *[F.col(k).cast("string") for k in (*keys, "seq")]).alias("url"), f["start_time"].alias("start_time"), f["end_time"].alias("end_time"), f["video_path"].alias("video_path"),
+        F.coalesce(f["tag"], F.array().cast("array<string>")).alias("tags"), people.alias("all_speakers"), F.transform("s", lambda x: x["s"]).alias("segments"),
+    )
+    clips_ = per_clip.select(*keys, clip.alias("c")).groupBy(*keys).agg(F.array_sort(F.collect_list("c"), lambda x, y: x["seq"] - y["seq"]).alias("clips"))
+    return heads.join(clips_, keys, "left").withColumn("scraped_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"))
+
+
 def failures(spark: SparkSession, path: str) -> DataFrame:
     """(file, text) of the meeting files that meetings() leaves out: broken ones, and those without an id."""
     df = spark.read.schema(MEETING + ", _corrupt string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
@@ -99,9 +129,21 @@ def word_list(spark: SparkSession, path: str, keep_blanks: bool = False) -> Data
 
 
 def phrases(mined: DataFrame, manual: DataFrame, blocked: DataFrame) -> DataFrame:
+    """(word): mined and manual phrases without the blocked ones."""
     return mined.unionByName(manual).distinct().join(blocked, "word", "left_anti")
 
 
+def abbreviations(mined: DataFrame, blocked: DataFrame) -> DataFrame:
+    """(word): mined abbreviations without the blocked ones."""
+    return mined.select("word").distinct().join(blocked, "word", "left_anti")
+
+
+def manual_words(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The Thai and the Latin entries of a manual list."""
+    thai = F.col("word").rlike("[ก-๏]")
+    return words.where(thai), words.where(~thai)
+
+
 def frequencies(lexicon: DataFrame) -> DataFrame:
     """(word, freq): repeated entries of a frequency list are added up."""
     return lexicon.groupBy("word").agg(F.sum("freq").alias("freq"))

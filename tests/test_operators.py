@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from plenum.operators import enrich, incremental, mining, search, sequence, tokenize
+from plenum.operators import enrich, incremental, mining, search, sequence, stats, tokenize
 from plenum.operators import names as names_op
 from plenum.sources import meetings, sinks
 from plenum.streaming import ingest
@@ -43,7 +43,6 @@ def test_attribution_and_runs(spark):
 
 def test_assembly_and_transcript(spark):
     df = spark.createDataFrame([("p", "1", 1, 0, "A", "00:00:01", "x"), ("p", "1", 1, 1, "A", "00:00:01", " "), ("p", "1", 1, 2, "B", "00:00:01", "y"), ("p", "1", 2, 0, "B", "00:05:00", "z")], "phase string, meeting_id string, seq int, pos int, speaker string, start_time string, text string")
-    assert sinks.transcript(df).first()["text"] == "== 00:00:01\nA:\nx\nB:\ny\n== 00:05:00\nB:\nz"
     assert sequence.assemble(df, ["meeting_id"], ["seq", "pos"]).first()["text"] == "x   y z"
     assert sinks.json_rows(df.where("pos = 1").select(F.lit(1).alias("a"), F.lit(None).cast("int").alias("b"))).first()[0] == '{"a":1}'
 
@@ -141,8 +140,15 @@ def test_intro_and_mining(spark):
     assert [tuple(r) for r in enrich.intro_fill(s, p, parties).collect()] == [(1, "ก้าวหน้า")]
     docs = spark.createDataFrame([(["ท่อง", "เที่ยว", "ดี"],)] * 5 + [(["รถ", "ไฟ"],)] * 12, "t array<string>")
     lex = spark.createDataFrame([("ท่องเที่ยว", "dictionary")], "word string, tier string")
-    mined = mining.mine(docs, "t", lex, spark.createDataFrame([], "word string"))
+    none = spark.createDataFrame([], "word string")
+    words = lambda *w: spark.createDataFrame([(x,) for x in w], "word string")
+    mined = mining.mine(docs, "t", lex, none, known=words("รถ", "ไฟ"))
     assert {(r["word"], r["tier"], r["n"]) for r in mined.collect()} == {("ท่องเที่ยว", "dictionary", 5), ("รถไฟ", "corpus", 12)}
+    every = lambda **k: {r["word"] for r in mining.mine(docs, "t", lex, none, **({"known": words("รถ", "ไฟ")} | k)).collect()}
+    assert every(known=words("รถ")) == {"ท่องเที่ยว"} and every(known=words("รถ", "ไฟ", "รถไฟ")) == {"ท่องเที่ยว"}  # parts must be words, known phrases are none
+    assert every(names=words("รถ", "ไฟ")) == {"ท่องเที่ยว"} and every(names=words("รถ")) == {"ท่องเที่ยว"}
+    assert every(places=words("ท่อง")) == {"รถไฟ"} and every(titles=("ไฟ",)) == {"ท่องเที่ยว"} and every(names=words("ท่อง", "เที่ยว")) == {"รถไฟ"}
+    assert every(letters="^[ก-ฮ]+$") == set() and every(vetoed_edges=("รถ",)) == {"ท่องเที่ยว"} and every(prefixes=("ท่อง",)) == {"ท่องเที่ยว", "รถไฟ"}
     longer = spark.createDataFrame([("ab", "corpus", 10), ("abc", "corpus", 10), ("bc", "corpus", 50)], "word string, tier string, n int")
     assert {w for w, _, _ in mining.prune(longer)} == {"abc", "bc"}
 
@@ -221,3 +227,58 @@ def test_prune_and_listing_helpers(spark):
     stored = spark.createDataFrame([(1, "นายก ขค"), (2, "พันเอกก ขค"), (3, None)], "id int, name string")
     picked = spark.createDataFrame([(1, "พันเอกก ขค"), (2, "พลเอกก ขค"), (3, "ก")], "id int, display string")
     assert sorted(tuple(r) for r in names.refresh_display(stored, picked, "id").collect()) == [(1, "พันเอกก ขค"), (2, "พันเอกก ขค"), (3, "ก")]
+
+
+def _records(spark):
+    head = "phase string, meeting_id string, meeting_title string, meeting_council string, meeting_episode string, meeting_group string, meeting_year string, meeting_number string, meeting_date string, order int"
+    playlist = spark.createDataFrame([("1", "7", "ประชุม", "สภา", "สมัย", "26", "2", "5", "2026-03-15", 0), ("1", "7", "อื่น", None, None, None, None, None, None, 1)], head)
+    kind = """phase string, meeting_id string, seq int, order int, _id string, start double, stop double, text string, speaker array<string>, speaker_party array<string>, speaker_province array<string>,
+        start_time string, end_time string, video_path string, tag array<string>, all_speaker array<string>, all_speaker_party array<string>, all_speaker_province array<string>"""
+    rows = [
+        ("1", "7", 2, 0, "c", 0.0, 1.0, "สาม", ["ข"], [], None, "10:05:00", "10:10:00", "v", None, None, ["x"], None),
+        ("1", "7", 1, 1, "b", 1.0, 2.0, "สอง<br/>บรรทัด", ["ข", "ค"], ["พ"], ["ตาก"], None, None, None, ["t2"], None, None, None),
+        ("1", "7", 1, 0, "a", 0.0, 1.0, "&lt;b&gt;หนึ่ง&lt;/b&gt;", [], None, None, "10:00:00", "10:05:00", "u", ["t"], ["ก", "ข"], ["พ"], ["ตาก", "น่าน"]),
+        ("1", "7", 1, 2, "d", 2.0, 3.0, None, ["ข"], None, None, None, None, None, None, None, None, None),
+    ]
+    return meetings.records(playlist, spark.createDataFrame(rows, kind), "http://x")
+
+
+def test_records_and_transcript(spark, tmp_path):
+    made = _records(spark)
+    r = made.first()
+    first, second = r["clips"]
+    assert r["meeting_title"] == "ประชุม" and first["seq"] == 1 and first["url"] == "http://x/video/1/7/1" and first["start_time"] == "10:00:00" and first["tags"] == ["t"] and second["tags"] == []
+    assert [tuple(x) for x in first["all_speakers"]] == [("ก", "พ", "ตาก")] and second["all_speakers"] == []
+    assert [(s["id"], s["speaker"], s["speaker_party"], s["text"], s["text_raw"]) for s in first["segments"]] == [("a", None, None, "หนึ่ง", "&lt;b&gt;หนึ่ง&lt;/b&gt;"), ("b", "ข", "พ", "สอง\nบรรทัด", "สอง<br/>บรรทัด"), ("d", "ข", None, "", None)]
+    lines = sinks.transcript(made).first()["text"].split("\n")
+    assert lines == [
+        "ประชุม (สภา)", "สมัย  ชุดที่ 26 ปีที่ 2 ครั้งที่ 5", "Date: 2026-03-15   Meeting ID: 1/7", "", "===== Clip 1  10:00:00-10:05:00  http://x/video/1/7/1", "", "[(ไม่ระบุผู้พูด)]", "หนึ่ง", "", "[ข — พ, ตาก]", "สอง", "บรรทัด", "",
+        "===== Clip 2  10:05:00-10:10:00  http://x/video/1/7/2", "", "[ข]", "สาม", "", "",
+    ]
+    target = str(tmp_path / "out")
+    sinks.write_meetings(made, target)
+    again = made.unionByName(made.withColumn("meeting_id", F.lit("8"))).withColumn("meeting_title", F.lit("ใหม่"))
+    title = lambda: {(r["meeting_id"], r["meeting_title"]) for r in spark.read.schema("phase string, meeting_id string, meeting_title string").json(target).collect()}
+    sinks.write_meetings(again, target)
+    assert title() == {("7", "ประชุม"), ("8", "ใหม่")}
+    sinks.write_meetings(again.where("meeting_id = '7'"), target, force=True)
+    assert title() == {("7", "ใหม่"), ("8", "ใหม่")}
+    sinks.write_roster(spark.createDataFrame([(2, "ข"), (1, "ก")], "member_no int, name string"), str(tmp_path / "roster"), "s", "t")
+    assert [r["member_no"] for r in meetings.roster(spark, str(tmp_path / "roster"), least=1).collect()] == [1, 2]
+
+
+def test_colours_and_topics(spark, tmp_path):
+    """Operators on small side tables: colours, topic labels, manual lists."""
+    (tmp_path / "c.json").write_text('{"parties": {"ก": {"color": "#112233", "name_en": "A"}, "ข": {"color": null}}}')
+    colours = meetings.party_colours(spark, str(tmp_path / "c.json")).select("party", "color")
+    filled = enrich.fill_colours(spark.createDataFrame([("ก",), ("ค",)], "party string"), colours)
+    assert sorted(tuple(r) for r in filled.collect()) == [("ก", "#112233"), ("ค", None)]
+    assert [r["party"] for r in enrich.uncoloured(filled).collect()] == ["ค"]
+    topics = spark.createDataFrame([(1, "น้ำ")], "topic_id int, topic string")
+    labels = spark.createDataFrame([(1, "k1", "model", 0.5), (1, "gone", "manual", 1.0)], "topic_id int, speech_key string, source string, confidence double")
+    got = stats.speech_topics(topics, labels, spark.createDataFrame([("k1", 3)], "speech_key string, speech_id int"))
+    assert {(r["speech_key"], r["topic"], r["speech_id"]) for r in got.collect()} == {("k1", "น้ำ", 3), ("gone", "น้ำ", None)}
+    words = lambda *w: spark.createDataFrame([(x,) for x in w], "word string")
+    thai, latin = meetings.manual_words(words("ลุ้น", "Thai PBS"))
+    assert [r[0] for r in thai.collect()] == ["ลุ้น"] and [r[0] for r in latin.collect()] == ["Thai PBS"]
+    assert [r[0] for r in meetings.abbreviations(words("ครม.", "กม."), words("กม.")).collect()] == ["ครม."]
