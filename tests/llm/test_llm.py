@@ -7,10 +7,12 @@ from collections import Counter
 from itertools import permutations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from plenum.operators import tokenize
 from plenum.llm import codepoints, enrichment, frequency, leakage, linkage, lookalike, names, queries, sentences, spans, tokenizer, turns, variants
 
 
@@ -176,6 +178,21 @@ def test_marks(spark):
     assert frequency.marks(st.where("false"), terms).count() == 0
 
 
+def test_token_grams(spark, small):
+    """Grams of one to five words of all documents, Thai and Latin, and longer repeated ones, against counting in Python."""
+    terms = pd.read_parquet(small + "/terms.parquet")["term"].dropna().unique()
+    cut = tokenize.Lexicon(dict.fromkeys(terms, 1000)).tokens
+    docs = pd.read_parquet(small + "/documents.parquet").drop_duplicates("doc_id").dropna(subset=["text"])
+    every = [cut(t) for t in docs["text"]]
+    runs = lambda ts: [(n, " ".join(ts[i : i + n])) for n in range(1, 6) for i in range(len(ts) - n + 1)]
+    occ, rec = Counter(x for ts in every for x in runs(ts)), Counter(x for ts in every for x in set(runs(ts)))
+    got = {(r["n"], r["gram"]): (r["occurrences"], r["records"]) for r in queries.QUERIES["p4_token_ngrams"](spark, small).collect()}
+    assert got == {k: (occ[k], rec[k]) for k in occ}
+    places = Counter(tuple(ts[i : i + 9]) for ts in {tuple(t) for t in every} for i in range(len(ts) - 8))
+    nine = {r["gram"] for r in queries.QUERIES["p4_repeats"](spark, small).where("n = 9").collect()}
+    assert nine == {" ".join(g) for g, n in places.items() if n > 1} and nine
+
+
 # --- problem 5
 
 
