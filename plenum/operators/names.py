@@ -51,3 +51,12 @@ def refresh_display(stored: DataFrame, picked: DataFrame, key: str, name: str =
 
 def _formal(raw: pd.Series) -> pd.Series:
     return raw.map(N.has_formal_title, na_action="ignore").astype("boolean")
+
+
+def _sorted_by(raw: pd.Series) -> pd.Series:
+    return raw.map(N.sort_name, na_action="ignore")
+
+
+def sort_name(name: str) -> Column:
+    """The name without its titles, as lists are sorted by it."""
+    return F.pandas_udf(_sorted_by, "string", F.PandasUDFType.SCALAR)(name)

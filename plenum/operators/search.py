@@ -91,6 +91,15 @@ def phrase(df: DataFrame, tokens: str, words: list[str]) -> DataFrame:
     return rows.withColumn("n", F.size(F.filter(starts, same))).where("n > 0")
 
 
+def pushed(keys: list[tuple[str, bool]], name: str, number: bool, most: int = 3) -> list[tuple[str, bool]]:
+    """Sort keys (column, ascending) after a click on a column: it comes first, the others stay behind it, up to `most`.
+
+    A click on the first one turns its direction; a new one begins downwards for numbers, upwards for text.
+    """
+    ascending = not keys[0][1] if keys and keys[0][0] == name else not number
+    return [(name, ascending), *[k for k in keys if k[0] != name]][:most]
+
+
 def stacked(keys: list[tuple[str, bool]], tie: Column) -> list[Column]:
     """The order of a table under sort keys (column, ascending), the newest first: empties stand last whatever the direction."""
     order: list[Column] = []

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import contrast_text
 from ..plans.model import Model
 
 
@@ -58,10 +59,34 @@ def day_shares(m: Model, small: float = 0.02) -> DataFrame:
     return folded.groupBy("meeting_date", "party").agg(F.sum("words").alias("words"), F.round(F.sum("share"), 6).alias("share"))
 
 
+# Gap between the segments of a ring, and the least length that is drawn, in hundredths of the circle.
+RING_GAP, RING_LEAST = 0.8, 0.3
+
+
 def ring_offsets(m: Model) -> DataFrame:
-    """Where each party's segment of a day's ring begins: the shares before it, largest first."""
-    w = Window.partitionBy("meeting_date").orderBy(F.desc("words"), "party")
-    return day_shares(m).select("meeting_date", "party", "words", F.coalesce(F.sum("words").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    """Where each party's segment of a day's ring begins: the words before it, largest first; and its dash and offset strings.
+
+    Segments leave a gap where the day has several; one that is too short to be drawn has no strings.
+    """
+    day = Window.partitionBy("meeting_date")
+    before = F.coalesce(F.sum("words").over(day.orderBy(F.desc("words"), "party").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = day_shares(m).select("meeting_date", "party", "words", before.alias("before"), F.sum("words").over(day).alias("_all"), F.count("*").over(day).alias("_n"))
+    part = lambda c: F.col(c) / F.greatest("_all", F.lit(1)) * 100
+    rows = rows.withColumn("_len", part("words") - F.when(F.col("_n") > 1, RING_GAP).otherwise(0.0))
+    drawn = F.col("_len") > RING_LEAST
+    dash = F.format_string("%.2f %.2f", "_len", 100 - F.col("_len"))
+    return rows.select("meeting_date", "party", "words", "before", F.when(drawn, dash).alias("dash"), F.when(drawn, F.format_string("%.2f", -part("before"))).alias("offset"))
+
+
+def party_tags(parties: DataFrame, logos: list[str]) -> DataFrame:
+    """(party, style, logo, letter): the tag of each party; its first letter where its logo is not among the files.
+
+    parties (party, color, logo); a colour that is none gives no style. `logos` are the names of a folder's files.
+    """
+    ink = contrast_text(F.col("color"))
+    logo = F.when(F.col("logo").isin(*logos), F.col("logo")) if logos else F.lit(None).cast("string")
+    style = F.when(ink.isNotNull(), F.concat(F.lit("--pc: "), F.col("color"), F.lit("; --pf: "), ink)).otherwise("")
+    return parties.select("party", style.alias("style"), logo.alias("logo"), F.when(logo.isNull(), F.substring("party", 1, 1)).alias("letter"))
 
 
 def day_totals(m: Model) -> DataFrame:

@@ -67,7 +67,7 @@ class Model:
         return self.person().where("is_presiding").select("person_id")
 
 
-_TITLED = "|".join(re.escape(t) for t in sorted(TITLES, key=lambda t: (-len(t), t)))
+TITLED = "|".join(re.escape(t) for t in sorted(TITLES, key=lambda t: (-len(t), t)))
 #: The same tables as SQL, to stand before a query.
 SQL = """
 WITH speech AS (SELECT id AS speech_id, ANY_VALUE(meeting_id) AS meeting_id, ANY_VALUE(meeting_date) AS meeting_date, ANY_VALUE(ordinal) AS ordinal,
@@ -81,4 +81,4 @@ content_term AS (SELECT term_id, term FROM term WHERE NOT is_stopword),
 person AS (SELECT id AS person_id, MIN(name) AS name, MIN(name_key) AS name_key, MAX(COALESCE(is_presiding, FALSE)) AS is_presiding, MAX(COALESCE(is_mp, FALSE)) AS is_mp FROM persons GROUP BY id),
 own_words AS (SELECT DISTINCT person_id, unnest(string_split_regex(regexp_replace(name, '^(?:(?:%s) ?)+', ''), ' +')) AS term FROM person WHERE name IS NOT NULL),
 skipped AS (SELECT term FROM own_words UNION SELECT province FROM speeches WHERE province IS NOT NULL)
-""" % _TITLED
+""" % TITLED

@@ -11,7 +11,7 @@ from ..functions import text as X
 from ..operators import clouds, enrich, incremental, mining, names, search, sequence, stats, tokenize
 from ..session import short_list
 from ..sources import meetings
-from .model import SQL, Model
+from .model import SQL, TITLED, Model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -120,7 +120,12 @@ e AS (SELECT *, words / SUM(words) OVER (PARTITION BY meeting_date) AS share FRO
 f AS (SELECT meeting_date, CASE WHEN share >= 0.02 THEN party_id ELSE -1 END AS party, CAST(SUM(words) AS BIGINT) AS words, ROUND(SUM(share), 6) AS share FROM e GROUP BY ALL)"""
 _add("win4_day_shares", stats.day_shares, _SHARES + " SELECT meeting_date, party, words, share FROM f")
 _add("win6_neighbours", stats.neighbours, "SELECT meeting_date, LAG(meeting_date) OVER (ORDER BY meeting_date) AS previous, LEAD(meeting_date) OVER (ORDER BY meeting_date) AS following FROM (SELECT DISTINCT meeting_date FROM speech)")
-_add("win7_ring_offsets", stats.ring_offsets, _SHARES + " SELECT meeting_date, party, words, CAST(COALESCE(SUM(words) OVER (PARTITION BY meeting_date ORDER BY words DESC, party ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM f")
+_add("win7_ring_offsets", lambda m: stats.ring_offsets(m).select("meeting_date", "party", "words", "before"), _SHARES + " SELECT meeting_date, party, words, CAST(COALESCE(SUM(words) OVER (PARTITION BY meeting_date ORDER BY words DESC, party ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM f")
+_add("mea2_ring", lambda m: stats.ring_offsets(m).select("meeting_date", "party", F.split("dash", " ").alias("d"), "offset").select("meeting_date", "party", F.get("d", F.lit(0)).cast("double").alias("length"), F.get("d", F.lit(1)).cast("double").alias("rest"), F.col("offset").cast("double").alias("offset")), _SHARES + """,
+o AS (SELECT *, COALESCE(SUM(words) OVER (PARTITION BY meeting_date ORDER BY words DESC, party ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, SUM(words) OVER (PARTITION BY meeting_date) AS whole, COUNT(*) OVER (PARTITION BY meeting_date) AS n FROM f),
+l AS (SELECT *, words / whole * 100 - CASE WHEN n > 1 THEN 0.8 ELSE 0 END AS len FROM o)
+SELECT meeting_date, party, CASE WHEN len > 0.3 THEN ROUND(len, 2) END AS length, CASE WHEN len > 0.3 THEN ROUND(100 - len, 2) END AS rest, CASE WHEN len > 0.3 THEN -ROUND(before / whole * 100, 2) END AS offset FROM l""")
+_add("fil2_parameter", lambda m: m.spark.sql("SELECT speech_id, person_id FROM {s} WHERE party_id = :party AND meeting_date >= :day", args={"party": 2, "day": "2020-01-01"}, s=m.speech()), "SELECT speech_id, person_id FROM speech WHERE party_id = 2 AND meeting_date >= DATE '2020-01-01'")
 _add("joi13_modal_province", lambda m: stats.modal(m, "person_id", "province"), "c AS (SELECT person_id, province, COUNT(*) AS n FROM speech WHERE person_id IS NOT NULL AND province IS NOT NULL GROUP BY 1, 2) SELECT * FROM c QUALIFY ROW_NUMBER() OVER (PARTITION BY person_id ORDER BY n DESC, province) = 1")
 _add("mea3_disc_scale", stats.disc_scale, "d AS (SELECT meeting_date, SUM(word_count) AS w FROM speech GROUP BY 1) SELECT meeting_date, ROUND(GREATEST(0.6, 1.5 * sqrt(w / (SELECT MAX(w) FROM d))), 6) AS scale FROM d")
 _add("mea4_roles", stats.roles, """
@@ -466,6 +471,7 @@ def _refilled(m: Model) -> DataFrame:
     return incremental.undo_fills(m.speech(), "party_id", "party_source", "site").select("speech_id", "party_id", "party_source")
 
 
+_add("srt9_sort_names", lambda m: m.person().select("person_id", names.sort_name("name").alias("sort_name")), f"SELECT person_id, trim(regexp_replace(name, '^(?:(?:{TITLED}) ?)+', '')) AS sort_name FROM person")
 _add("dml6_undo_fills", _refilled, "x AS (SELECT id, ANY_VALUE(party_source) AS src FROM speeches GROUP BY id) SELECT speech_id, CASE WHEN src = 'site' THEN party_id END AS party_id, CASE WHEN src = 'site' THEN src END AS party_source FROM speech JOIN x ON x.id = speech_id")
 _add("fil14_urls", lambda m: m.speech().select("speech_id", F.concat_ws("/", F.lit(""), F.lit("meeting"), F.col("meeting_date").cast("string"), F.col("ordinal").cast("string")).alias("url")), "SELECT speech_id, '/meeting/' || CAST(meeting_date AS VARCHAR) || '/' || CAST(ordinal AS VARCHAR) AS url FROM speech")
 _add("mea8_bubbles", stats.bubbles, """

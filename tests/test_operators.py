@@ -282,3 +282,17 @@ def test_colours_and_topics(spark, tmp_path):
     thai, latin = meetings.manual_words(words("ลุ้น", "Thai PBS"))
     assert [r[0] for r in thai.collect()] == ["ลุ้น"] and [r[0] for r in latin.collect()] == ["Thai PBS"]
     assert [r[0] for r in meetings.abbreviations(words("ครม.", "กม."), words("กม.")).collect()] == ["ครม."]
+
+
+def test_sort_keys_and_tags(spark):
+    keys = search.pushed([], "words", True)
+    assert keys == [("words", False)]
+    keys = search.pushed(search.pushed(search.pushed(keys, "name", False), "province", False), "day", True)
+    assert keys == [("day", False), ("province", True), ("name", True)]
+    assert search.pushed(keys, "day", True)[0] == ("day", True) and search.pushed(keys, "name", False) == [("name", True), ("day", False), ("province", True)]
+    t = spark.createDataFrame([(1, None, 5), (2, "ก", None), (3, "", 9), (4, "ข", 9)], "id int, province string, words int")
+    order = search.stacked([("words", False), ("province", True)], F.col("id"))
+    assert [r["id"] for r in t.orderBy(*order).collect()] == [4, 3, 1, 2]
+    tags = stats.party_tags(spark.createDataFrame([("ก้าว", "#ffffff", "a.png"), ("ข", "red", "b.png"), ("ค", None, None)], "party string, color string, logo string"), ["a.png"])
+    assert sorted(tuple(r) for r in tags.collect()) == [("ก้าว", "--pc: #ffffff; --pf: #111111", "a.png", None), ("ข", "", None, "ข"), ("ค", "", None, "ค")]
+    assert names_op.N.sort_name("ดร. พันเอก ว่าที่ นาย สมชาย") == "นาย สมชาย"
