@@ -6,8 +6,9 @@ the ranks are a literal in the plan, spread over CRC buckets so that a lookup re
 
 Every distinct word is counted over the whole corpus. The CACHE most frequent ones (a fixed bound) are folded once and
 become a second literal. A rarer word falls apart into pieces at characters before which no token of the vocabulary
-reaches over from another character, so no merge can cross there; its pieces, mostly single characters, come from the
-same literal or are folded where they stand. The cache decides the time, never the ids.
+reaches over from another character, so no merge can cross there. It is read in chunks of CHUNK pieces: the most frequent
+chunks, and the most frequent pieces of the others, are folded once as well and stand in the same literal; only a piece
+beyond all three is folded where it stands. The cache decides the time, never the ids.
 
 Cases: null and empty texts have an empty list; repeated rows of a key give one row; decoding the ids gives the text back.
 """
@@ -29,8 +30,9 @@ DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _BLANK = r"\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: That pattern: a contraction, letters, digits or signs with at most one blank before them, or blanks.
 WORDS = rf"'(?:[stmd]|re|ve|ll)| ?(?:\p{{L}}++|\p{{N}}++|[^{_BLANK}\p{{L}}\p{{N}}]++)|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
-BUCKETS = 1 << 13
-CACHE = 20_000
+BUCKETS = 1 << 14
+#: Words, chunks and pieces that are looked up, of each so many; and pieces of a chunk.
+CACHE, CHUNK = 20_000, 4
 NONE = 0x7FFFFFFF
 
 
@@ -110,15 +112,16 @@ def _pieces_pattern(path: str) -> str:
         follow.update(y for x, y in zip(b, b[1:]) if x >= 0x80 and y >= 0xC2)
     free = [b for b in range(0xE0, 0xF0) if b not in follow]
     if not free:
-        return r"(?s).+"
+        return r"(?s)(?:.+){1,%d}"
     first = lambda b: "\\u%04x-\\u%04x" % (max(0x800, (b & 15) << 12), min(((b & 15) << 12) + 0xFFF, 0xFFFF))
     starts = "".join(first(b) for b in free)
     # a run of ASCII takes the next character along, whatever it is
-    return rf"(?s)(?:[\x00-\x7f]++.?|.)(?:[^{starts}\x00-\x7f]|[\x00-\x7f]++.?)*+"
+    return rf"(?s)(?:(?:[\x00-\x7f]++.?|.)(?:[^{starts}\x00-\x7f]|[\x00-\x7f]++.?)*+){{1,%d}}"
 
 
-def pieces(word: Column, path: str) -> Column:
-    return F.regexp_extract_all(word, F.lit(_pieces_pattern(path)), F.lit(0))
+def pieces(word: Column, path: str, most: int = 1) -> Column:
+    """A word in chunks of up to `most` pieces, which are encoded apart."""
+    return F.regexp_extract_all(word, F.lit(_pieces_pattern(path) % most), F.lit(0))
 
 
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -126,23 +129,34 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(F.explode(words(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
+def spark_tasks(df: DataFrame) -> int:
+    return max(2, df.sparkSession.sparkContext.defaultParallelism)
+
+
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", ranks_path: str = DEFAULT_RANKS) -> DataFrame:
     """(key, ids array<int>) of every row."""
     table = _bucketed(ranks(ranks_path), "int")
     source = df.select(key, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     counts = cut(word_counts(source))
-    frequent = counts.orderBy(F.desc("n"), "word").limit(CACHE).select("word")
-    parts = counts.join(frequent, "word", "left_anti").select(F.explode(pieces(F.col("word"), ranks_path)).alias("word"), "n")
-    parts = parts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(CACHE).select("word")
-    known = frequent.unionByName(parts).distinct().select("word", _let(table, lambda t: fold_merges(F.col("word"), t)).alias("ids"))
-    cached = {r[0]: list(r[1]) for r in known.collect()}  # at most 2 * CACHE short rows
+    most = lambda d: d.orderBy(F.desc("n"), "word").limit(CACHE).select("word")
+    parts = lambda d, kept, size: d.join(kept, "word", "left_anti").select(F.explode(pieces(F.col("word"), ranks_path, size)).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
+    frequent = most(counts)
+    chunks = cut(parts(counts, frequent, CHUNK))
+    kept = most(chunks)
+    single = most(parts(chunks, kept, 1))
+    words_ = frequent.unionByName(kept).unionByName(single).distinct().repartition(spark_tasks(source), "word")
+    known = words_.select("word", _let(table, lambda t: fold_merges(F.col("word"), t)).alias("ids"))
+    cached = {r[0]: list(r[1]) for r in known.collect()}  # at most 3 * CACHE short rows
     tables = F.struct(table.alias("ranks"), _bucketed(cached, "array<int>").alias("cache"))
 
-    def by_pieces(w: Column, t: Column) -> Column:
-        return F.flatten(F.transform(pieces(w, ranks_path), lambda p: F.coalesce(_find(t["cache"], p), fold_merges(p, t["ranks"]))))
+    def by_piece(chunk: Column, t: Column) -> Column:
+        return F.flatten(F.transform(pieces(chunk, ranks_path), lambda p: F.coalesce(_find(t["cache"], p), fold_merges(p, t["ranks"]))))
+
+    def by_chunk(w: Column, t: Column) -> Column:
+        return F.flatten(F.transform(pieces(w, ranks_path, CHUNK), lambda c: F.coalesce(_find(t["cache"], c), by_piece(c, t))))
 
     # each literal stands once in the plan, as the argument of the outermost function
-    ids = _let(tables, lambda t: F.flatten(F.transform(words(F.col("text")), lambda w: F.coalesce(_find(t["cache"], w), by_pieces(w, t)))))
+    ids = _let(tables, lambda t: F.flatten(F.transform(words(F.col("text")), lambda w: F.coalesce(_find(t["cache"], w), by_chunk(w, t)))))
     return source.select(key, ids.alias("ids"))
 
 
