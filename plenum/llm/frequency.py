@@ -32,7 +32,7 @@ GROUP, STEP = 200_000, 8
 END = np.iinfo(np.int64).min
 
 
-def suffix_counts(suffixes: DataFrame, depth: int) -> DataFrame:
+def suffix_counts(suffixes: DataFrame, depth: int, least: int = 1) -> DataFrame:
     """(d, gram, first, occurrences, records, places, record, place) from rows (prefix, t1..tN, record, place, weight).
 
     One row for each distinct (prefix, t1..td), d = 1..depth; gram is its hash, first its t1, (record, place) one of its
@@ -42,16 +42,17 @@ def suffix_counts(suffixes: DataFrame, depth: int) -> DataFrame:
     names = [f"t{i}" for i in range(1, depth + 1)]
     sizes = suffixes.groupBy("prefix", "t1").agg(F.count("*").alias("_n")).where(F.col("_n") > GROUP)
     hot = sizes.select("prefix", "t1", F.ceil(F.col("_n") / GROUP).cast("int").alias("_salts"))
-    salted = suffixes.join(hot, ["prefix", "t1"], "left").withColumn("salt", F.pmod(F.xxhash64("record"), F.coalesce("_salts", F.lit(1))).cast("int"))
+    salted = suffixes.join(hot, ["prefix", "t1"], "left").withColumn("salt", F.pmod(F.xxhash64("record"), F.coalesce("_salts", F.lit(1))).cast("int")).withColumn("whole", F.col("_salts").isNull())
     parts = salted.repartition("prefix", "t1", "salt").sortWithinPartitions("prefix", "t1", "salt", *names[1:], "record", F.desc("weight"))
 
     def intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _whole_groups(batches, ["prefix", "t1", "salt"]):
-            yield from _count(group, names)
+            yield from _count(group, names, least)
 
     kind = [T.StructField("d", T.IntegerType())] + [T.StructField(c, T.LongType()) for c in ("gram", "first", "occurrences", "records", "places", "record")] + [T.StructField("place", T.IntegerType())]
-    counted = parts.select("prefix", "salt", *names, "record", "place", F.col("weight").cast("long").alias("weight")).mapInArrow(intervals, T.StructType(kind))
-    return counted.groupBy("d", "gram").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"), F.sum("places").alias("places"), F.min("first").alias("first"), F.min(F.struct("record", "place")).alias("_at")).select("d", "gram", "first", "occurrences", "records", "places", "_at.*")
+    counted = parts.select("prefix", "salt", "whole", *names, "record", "place", F.col("weight").cast("long").alias("weight")).mapInArrow(intervals, T.StructType(kind))
+    total = counted.groupBy("d", "gram").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"), F.sum("places").alias("places"), F.min("first").alias("first"), F.min(F.struct("record", "place")).alias("_at")).select("d", "gram", "first", "occurrences", "records", "places", "_at.*")
+    return total if least < 2 else total.where((F.col("occurrences") >= least) | (F.col("d") == 1))
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 50_000) -> Iterator[pa.Table]:
@@ -85,10 +86,11 @@ def _mix(gram: np.ndarray, token: np.ndarray) -> np.ndarray:
         return (x ^ (x >> np.uint64(31))).view(np.int64)
 
 
-def _count(t: pa.Table, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _count(t: pa.Table, names: list[str], least: int = 1) -> Iterator[pa.RecordBatch]:
     n = t.num_rows
     cols = [np.ascontiguousarray(t.column(c).fill_null(END).to_numpy()) for c in names]
     prefix, salt, record, weight = (np.ascontiguousarray(t.column(c).to_numpy()) for c in ("prefix", "salt", "record", "weight"))
+    entire = t.column("whole").to_numpy(zero_copy_only=False)
     place = np.ascontiguousarray(t.column("place").fill_null(-1).to_numpy())
     # common-prefix length with the row before; -1 at the begin of a group
     shared = np.full(n, -1, np.int64)
@@ -116,6 +118,9 @@ def _count(t: pa.Table, names: list[str]) -> Iterator[pa.RecordBatch]:
         first_weight = np.where(duplicate, 0, np.where(place[at] < 0, 1, weight[at]))
         places = np.diff(np.append(starts, len(at)))
         out = [np.full(len(head), d, np.int32), gram[head], cols[0][head], np.add.reduceat(w, starts), np.add.reduceat(first_weight, starts), places.astype(np.int64), record[head], place[head].astype(np.int32)]
+        if least > 1 and d > 1:  # a group that is not dealt over salts has all of a gram's places
+            kept = (out[3] >= least) | ~entire[head]
+            out = [x[kept] for x in out]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["d", "gram", "first", "occurrences", "records", "places", "record", "place"])
 
 
@@ -126,10 +131,11 @@ def _suffixes(docs: DataFrame, begins: Column, skip: Column, prefix: Column, dep
     return rows.select("record", "place", "weight", prefix.alias("prefix"), *shown).where("t1 is not null")
 
 
-def ngram_counts(df: DataFrame, record: str, tokens: str, max_n: int | None = None) -> DataFrame:
+def ngram_counts(df: DataFrame, record: str, tokens: str, max_n: int | None = None, least: int = 1) -> DataFrame:
     """(n, gram array<string>, occurrences, records) of the n-grams of an array<string> column.
 
     Up to max_n all n-grams are given; without it, all up to STEP and every longer one that stands at more than one place.
+    `least` leaves out n-grams of two or more tokens with fewer occurrences.
     """
     rows = df.where(F.col(record).isNotNull()).select(F.filter(F.col(tokens), lambda x: x.isNotNull()).alias("tokens")).where(F.size("tokens") > 0)
     # records with equal tokens are one with a weight; a 128-bit hash stands for the tokens
@@ -140,8 +146,9 @@ def ngram_counts(df: DataFrame, record: str, tokens: str, max_n: int | None = No
     suffixes = _suffixes(docs, every, F.lit(0), F.lit(0).cast("long"), depth)
     found, done = [], 0
     while True:
-        counts = cut(suffix_counts(suffixes, depth))
-        whole = counts if not done else counts.where("places > 1" if max_n is None else "true")
+        counts = cut(suffix_counts(suffixes, depth, least))
+        counts = counts if not done else counts.where((F.col("places") > 1 if max_n is None else F.lit(True)) & (F.col("occurrences") >= least))
+        whole = counts
         found.append(whole.select((F.col("d") + done).alias("n"), "occurrences", "records", "record", "place"))
         done += depth
         if max_n is not None and done >= max_n:

@@ -78,7 +78,7 @@ def p4_repeats(spark: SparkSession, d: str) -> DataFrame:
     """Every run of more than eight words, of any length, that stands at more than one place in the documents."""
     words = {r[0]: 1000 for r in short_list(_t(spark, d, "terms").select("term").where("term is not null").distinct(), 200_000)}
     docs = tokenize.thai_tokens(_t(spark, d, "documents").dropDuplicates(["doc_id"]).select("doc_id", "text"), "text", tokenize.Lexicon(words))
-    grams = frequency.ngram_counts(docs.select("doc_id", "tokens"), "doc_id", "tokens")
+    grams = frequency.ngram_counts(docs.select("doc_id", "tokens"), "doc_id", "tokens", least=2)
     return grams.where(F.col("n") > frequency.STEP).select("n", F.concat_ws(" ", "gram").alias("gram"), "occurrences", "records")
 
 

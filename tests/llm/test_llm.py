@@ -166,6 +166,8 @@ def test_ngrams_of_any_length(spark, monkeypatch):
         monkeypatch.setattr(frequency, "GROUP", group)
         got = {tuple(r["gram"]): (r["occurrences"], r["records"]) for r in frequency.ngram_counts(df, "id", "t").collect()}
         assert got == want and max(map(len, got)) == 26 - 1
+        often = {tuple(r["gram"]): (r["occurrences"], r["records"]) for r in frequency.ngram_counts(df, "id", "t", least=3).collect()}
+        assert often == {g: x for g, x in want.items() if len(g) == 1 or x[0] >= 3}
     ten = {tuple(r["gram"]): (r["occurrences"], r["records"]) for r in frequency.ngram_counts(df, "id", "t", 10).collect()}
     assert ten == {g: (occ[g], rec[g]) for g in occ if len(g) <= 10}
     assert frequency.ngram_counts(df.where("false"), "id", "t").count() == 0
