@@ -27,7 +27,7 @@ from .graph import all_pairs, components
 from .storage import cut
 
 #: A key shared by more forms gives its pairs in blocks of this size; the result does not depend on it.
-CROWDED = 60
+CROWDED = 2_000
 LIKE, LIKE_LATIN, LIKE_INITIAL = 0.86, 0.95, 0.75
 #: Components of more rows give their pairs in blocks of this size; the result does not depend on it.
 FULL_CLASS = 200
