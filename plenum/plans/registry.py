@@ -251,7 +251,9 @@ SELECT speech_id, CASE WHEN c IS NULL THEN NULL WHEN ok THEN lpad(CAST(t // 3600
 _add("txt6_person_keys", lambda m: names.with_names(m.raw("person_aliases").select("alias", "person_id"), "alias").select("alias", F.col("name_parts.clean").alias("clean"), F.col("name_parts.key").alias("key")))
 _add("txt7_pick_display", lambda m: names.pick_display(m.raw("person_aliases").withColumn("n", F.lit(1)), "person_id", "alias", "n"))
 _add("tok7_latin_tokens", lambda m: m.raw("documents").select(F.explode(tokenize.latin_tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n")), _LATIN + " SELECT term, COUNT(*) AS n FROM tok GROUP BY term")
-_add("tok9_breaks", lambda m: m.speech("breaks").where("breaks is not null").select("speech_id", F.size(X.decode_breaks(F.col("breaks"))).alias("words"), (X.encode_breaks(X.decode_breaks(F.col("breaks"))) == F.col("breaks")).alias("same")))
+_add("tok9_breaks", lambda m: m.speech("breaks").where("breaks is not null").select("speech_id", F.size(X.decode_breaks(F.col("breaks"))).alias("words"), (X.encode_breaks(X.decode_breaks(F.col("breaks"))) == F.col("breaks")).alias("same")), """
+b AS (SELECT speech_id, breaks, regexp_extract_all(breaks, '_[0-9]+_|[0-9a-zA-Z]') AS p FROM speech WHERE breaks IS NOT NULL)
+SELECT speech_id, CAST(len(p) AS INTEGER) AS words, COALESCE(array_to_string(p, '') = breaks AND len(list_filter(p, lambda x: x[1] = '_' AND TRY_CAST(replace(x, '_', '') AS BIGINT) < 62)) = 0, FALSE) AS same FROM b""")
 
 
 def _words(m: Model) -> dict[str, int]:
@@ -303,13 +305,19 @@ _add("agg10_token_bag", _token_bag)
 _add("agg20_token_ngrams", _token_ngrams)
 _add("min5_phrases", _phrases)
 _WORD = "โรงเรียน"
-_add("sea1_whole_words", lambda m: search.hits(m.speech("text", "breaks", where=F.lower("text").contains(_WORD)), _WORD).select("speech_id", F.size("hits").alias("whole"), F.size("places").alias("any")).where("any > 0"), f"""
-c AS (SELECT speech_id, lower(text) AS t, CASE WHEN length(breaks) > 0 THEN breaks END AS b FROM speech WHERE contains(lower(text), '{_WORD}')),
-h AS (SELECT *, list_filter(range(0, length(t)), lambda i: substr(t, CAST(i + 1 AS BIGINT), {len(_WORD)}) = '{_WORD}') AS places,
+
+
+def _hits_sql(word: str) -> str:
+    """(speech_id, whole, any): how often the speeches with a word hold it as a whole word, and at all."""
+    return f"""c AS (SELECT speech_id, lower(text) AS t, CASE WHEN length(breaks) > 0 THEN breaks END AS b FROM speech WHERE contains(lower(text), '{word}')),
+h AS (SELECT *, list_filter(range(0, length(t)), lambda i: substr(t, CAST(i + 1 AS BIGINT), {len(word)}) = '{word}') AS places,
   list_transform(regexp_extract_all(b, '_[0-9]+_|[0-9a-zA-Z]'), lambda x: CASE WHEN x[1] = '_' THEN CAST(replace(x, '_', '') AS BIGINT) ELSE strpos('{X.BASE62}', x) - 1 END) AS gaps FROM c),
-k AS (SELECT *, list_transform(range(1, len(gaps) + 1), lambda j: list_sum(gaps[1:j])) AS ends FROM h)
-SELECT speech_id, CAST(CASE WHEN b IS NULL THEN len(places) ELSE len(list_filter(places, lambda i: list_contains(ends, i) AND list_contains(ends, i + {len(_WORD)}))) END AS INTEGER) AS whole, CAST(len(places) AS INTEGER) AS "any" FROM k""")
-_add("sea3_fallback", lambda m: search.search(m.speech("text", "breaks", where=F.lower("text").contains("โรงเรีย")), "โรงเรีย", "speech_id"))
+k AS (SELECT *, list_transform(range(1, len(gaps) + 1), lambda j: list_sum(gaps[1:j])) AS ends FROM h),
+hits AS (SELECT speech_id, CAST(CASE WHEN b IS NULL THEN len(places) ELSE len(list_filter(places, lambda i: list_contains(ends, i) AND list_contains(ends, i + {len(word)}))) END AS INTEGER) AS whole, CAST(len(places) AS INTEGER) AS "any" FROM k)"""
+
+
+_add("sea1_whole_words", lambda m: search.hits(m.speech("text", "breaks", where=F.lower("text").contains(_WORD)), _WORD).select("speech_id", F.size("hits").alias("whole"), F.size("places").alias("any")).where("any > 0"), _hits_sql(_WORD) + ' SELECT speech_id, whole, "any" FROM hits')
+_add("sea3_fallback", lambda m: search.search(m.speech("text", "breaks", where=F.lower("text").contains("โรงเรีย")), "โรงเรีย", "speech_id"), _hits_sql("โรงเรีย") + ', m AS (SELECT MAX(whole) AS most FROM hits) SELECT * FROM (SELECT speech_id, CASE WHEN most > 0 THEN whole ELSE "any" END AS n, most = 0 AS partial FROM hits CROSS JOIN m) WHERE n > 0')
 _add("sea2_speaker_search", lambda m: m.person().where(F.lower("name").contains("ชัย")).select("person_id"), "SELECT person_id FROM person WHERE contains(lower(name), 'ชัย')")
 _add("sea6_preview", lambda m: m.speech(search.preview(F.col("text"), F.locate(_WORD, "text") - 1).alias("preview"), where=F.col("text").contains(_WORD)).select("speech_id", "preview"), f"SELECT speech_id, substr(text, CAST(CASE WHEN strpos(text, '{_WORD}') - 1 > 200 THEN strpos(text, '{_WORD}') - 200 ELSE 1 END AS BIGINT), 400) AS preview FROM speech WHERE contains(text, '{_WORD}')")
 _add("srt8_empties_last", lambda m: m.speech().select("speech_id", search.empties_last(F.col("province")).alias("key")), "SELECT speech_id, CASE WHEN COALESCE(province, '') = '' THEN 2 WHEN province = 'แบบบัญชีรายชื่อ' THEN 1 ELSE 0 END AS key FROM speech")
