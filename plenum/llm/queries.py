@@ -154,6 +154,14 @@ SELECT term_id, mark FROM m WHERE mark IS NOT NULL""",
 WITH r AS (SELECT DISTINCT segment_id, part, text FROM speech_segments WHERE length(text) >= 100),
 w AS (SELECT DISTINCT segment_id, part, unnest(list_transform(range(1, CAST(length(text) - 98 AS BIGINT)), lambda i: md5(substr(text, i, 100)))) AS s FROM r)
 SELECT DISTINCT segment_id, part FROM w WHERE s IN (SELECT s FROM w GROUP BY s HAVING COUNT(*) > 1)""",
+    "p5_shares": """
+WITH r AS (SELECT DISTINCT segment_id, part, text FROM speech_segments WHERE length(text) >= 100),
+w AS (SELECT segment_id, part, unnest(range(1, CAST(length(text) - 98 AS BIGINT))) AS i, unnest(list_transform(range(1, CAST(length(text) - 98 AS BIGINT)), lambda i: md5(substr(text, i, 100)))) AS s FROM r),
+k AS (SELECT segment_id, part, i FROM w WHERE s IN (SELECT s FROM w GROUP BY s HAVING COUNT(DISTINCT (segment_id, part)) > 1)),
+n AS (SELECT *, CASE WHEN i <= LAG(i) OVER o + 100 THEN 0 ELSE 1 END AS first FROM k WINDOW o AS (PARTITION BY segment_id, part ORDER BY i)),
+g AS (SELECT *, SUM(first) OVER (PARTITION BY segment_id, part ORDER BY i ROWS UNBOUNDED PRECEDING) AS span FROM n),
+x AS (SELECT segment_id, part, span, MAX(i) - MIN(i) + 100 AS chars FROM g GROUP BY ALL)
+SELECT segment_id, part, COUNT(*) AS spans, CAST(SUM(chars) AS BIGINT) AS shared_chars FROM x GROUP BY ALL""",
     "p8_decoded": "SELECT doc_id, TRUE AS same FROM documents",
     "p4_ngrams": """
 WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda x: lower(x)) AS t FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
