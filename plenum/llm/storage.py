@@ -1,24 +1,5 @@
 """Cutting lineage in the folder that all executors share."""
 
-from __future__ import annotations
+from ..session import cut
 
-import re
-import tempfile
-
-from pyspark.sql import DataFrame
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes a frame to the checkpoint folder and reads it from there; a lost executor loses nothing.
-
-    The folder is the session's spark.checkpoint.dir. Only where that is unset, as in tests on one machine, a temporary
-    folder is used; a session on a cluster without it is refused.
-    """
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    elif sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint(eager=True)
+__all__ = ["cut"]

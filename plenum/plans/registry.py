@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from .model import SQL, TITLED, Model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+#: How many keys of repeated rows are sent to all tasks; more are joined in a shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
 def _add(name: str, query: Callable[[Model], DataFrame], sql: str | None = None) -> None:
@@ -278,6 +281,22 @@ def _texts(m: Model) -> DataFrame:
     return m.speech("text").select("text").unionByName(m.raw("documents").dropDuplicates(["doc_id"]).select("text")).where("text is not null")
 
 
+def _weighted(m: Model) -> DataFrame:
+    """(text, weight): the same texts for sums over them. Every row counts, and later rows of a key are taken off again, so only
+    rows of repeated keys are shuffled with their texts."""
+    out = []
+    for name, key, order in (("speeches", "id", "scraped_at"), ("documents", "doc_id", "ingested_at")):
+        rows = m.raw(name)
+        again = rows.groupBy(key).agg(F.count("*").alias("rows")).where("rows > 1").select(F.col(key).alias("again"))
+        # a short list of keys goes to the rows; a long one (no limit to it) meets them in a shuffle
+        small = again.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+        twice = rows.join(F.broadcast(again) if small else again, F.col(key).eqNullSafe(F.col("again")), "left_semi")
+        place = F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).asc_nulls_last(), "text"))
+        later = twice.select("text", place.alias("place")).where("place > 1 and text is not null")
+        out += [rows.where("text is not null").select("text", F.lit(1).alias("weight")), mining.cut(later.select("text", F.lit(-1).alias("weight")))]
+    return reduce(DataFrame.unionByName, out)
+
+
 def _token_bag(m: Model) -> DataFrame:
     """The words of each document in any script; those of each speech are in tok6_thai_words."""
     d = m.raw("documents").dropDuplicates(["doc_id"]).select("doc_id", "text")
@@ -294,9 +313,9 @@ def _token_ngrams(m: Model) -> DataFrame:
 def _phrases(m: Model) -> DataFrame:
     """Phrases mined in passes over all texts and pruned; names and provinces are blocked."""
     lexicon = m.term().where("term is not null").select(F.col("term").alias("word"), F.lit("dictionary").alias("tier"))
-    named = m.raw("person_aliases").select("alias").union(m.person().select("name")).union(m.speech().select("province"))
+    named = m.raw("person_aliases").select("alias").union(m.person().select("name")).union(m.raw("speeches").select("province").distinct())
     blocked = named.select(F.explode(F.split("alias", r"\s+")).alias("word")).unionByName(named.select(F.regexp_replace("alias", r"\s+", "").alias("word"))).where("word <> ''").distinct()
-    found = mining.mine_passes(_texts(m), "text", _words(m), lexicon, blocked)
+    found = mining.mine_passes(_weighted(m), "text", _words(m), lexicon, mining.cut(blocked), weight="weight")
     mined = m.spark.createDataFrame([(w, t, n) for w, (t, n) in found.items()], "word string, tier string, n long")
     return m.spark.createDataFrame(mining.prune(mined), "word string, tier string, n long")
 

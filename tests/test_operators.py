@@ -1,4 +1,6 @@
+import itertools
 import json
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -69,6 +71,52 @@ def test_mining_passes(spark):
     assert found["รถไฟฟ้า"] == ("corpus", 12)
 
 
+def test_mining_reads_texts_once_a_pass(spark):
+    """Every pass scans the texts once: no run of tokens that cannot be a phrase is counted, shuffled or cut again."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        read.add(1)
+        return row
+
+    rows = [("รถไฟฟ้าดี", 1)] * 13 + [("รถไฟฟ้าดี", -1), (None, 1)]
+    texts = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(seen), "t string, w int")
+    none = spark.createDataFrame([], "word string, tier string")
+    words = {"รถ": 900, "ไฟฟ้า": 900, "ดี": 90000}
+    one = mining.mine_passes(texts.select("t"), "t", words, none, none.select("word"), passes=1)
+    assert read.value == len(rows) and one["รถไฟฟ้า"] == ("corpus", 14)
+    assert mining.mine_passes(texts, "t", words, none, none.select("word"), passes=1, weight="w")["รถไฟฟ้า"] == ("corpus", 12)
+    # runs of up to five tokens that spell a word, single tokens and pairs of real words; nothing else
+    lists = [(["a", "b", "c", "x"], 1), (["a", "b", "c"], 2), (["b", "c"], -1)]
+    got = {}
+    for parts, n in mining.tally(lists, {"abc", "bcx"}, {"a", "b"}):
+        got[tuple(parts)] = got.get(tuple(parts), 0) + n
+    assert got == {("a",): 3, ("b",): 2, ("c",): 2, ("x",): 1, ("a", "b"): 3, ("a", "b", "c"): 3, ("b", "c", "x"): 1}
+
+
+def test_segmentation_is_least_cost():
+    """The words that the paths agree on are taken at once; the result is that of trying every end."""
+    rng = random.Random(3)
+    some = lambda a, b: "".join(rng.choice("กขคา่เ.") for _ in range(rng.randint(a, b)))
+    for _ in range(300):
+        lex = tokenize.Lexicon({some(2, 6): rng.choice([60, 1000, 90000]) for _ in range(20)}, phrases=[some(3, 8)], extras=[some(1, 2)])
+        for run in (some(1, 40) for _ in range(5)):
+            best, back = [0.0] + [math.inf] * len(run), [0] * (len(run) + 1)
+            for i in range(len(run)):
+                ends = [(j, lex.cost[run[i:j]]) for j in range(i + 1, len(run) + 1) if run[i:j] in lex.cost]
+                m = tokenize.CLUSTER.match(run, i)
+                for j, c in ends or [(m.end() if m else i + 1, tokenize.UNKNOWN_COST)]:
+                    if best[i] + c < best[j]:
+                        best[j], back[j] = best[i] + c, i
+            words, cost = lex._best(run)
+            assert cost == best[-1] and "".join(words) == run and lex.segment(run) == words
+            ends = set(itertools.accumulate(map(len, words)))
+            at = len(run)
+            while at and run[back[at] : at] in lex.cost:
+                assert at in ends
+                at = back[at]
+
+
 def test_latin_and_abbreviations(spark):
     r = spark.createDataFrame([("รพ.สต. ก.ค.ศ. ส.อบจ. It's a well-known x2",), (None,)], "t string").select(tokenize.abbreviations(F.col("t")).alias("a"), tokenize.latin_tokens(F.col("t")).alias("l")).collect()
     assert r[0]["a"] == ["รพ.", "สต.", "ก.ค.ศ.", "อบจ."] and r[0]["l"] == ["it's", "well-known", "x2"] and r[1]["a"] is None
